@@ -25,7 +25,7 @@ class Encoder:
     chunks (split at ASCII white space) end to end; chunks are kept in a cache of bounded size.
     """
 
-    MOST, MOST_WORDS = 300_000, 1_000_000
+    MOST, MOST_WORDS = 200_000, 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -40,7 +40,7 @@ class Counter:
     such a place, and nothing before it looks past it. Pieces are counted once and kept in a bounded cache.
     """
 
-    MOST, MOST_TOKENS = 300_000, 1_000_000
+    MOST, MOST_TOKENS = 200_000, 500_000
 
     def __init__(self, path: str, single: frozenset[str]):
         import regex
