@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +33,21 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: What a Python worker keeps from task to task, by operator, and how to drop it.
+KEPT: dict[str, object] = {}
+
+
+def begin(keep: str = "") -> None:
+    """At the start of a task: give back what other operators' tasks have left in this worker."""
+    for name in [k for k in KEPT if k != keep]:
+        del KEPT[name]
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,6 +120,7 @@ def carried(docs: DataFrame, text_col: str, compute, fields: list[tuple[str, str
     place = docs.columns.index(text_col)
 
     def run(batches):
+        begin()
         for batch in batches:
             texts = raw(batch.column(place))
             for a, b in slices(texts):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from aligna.llm.common import raw, slices
+from aligna.llm.common import begin, raw, slices
 from aligna.llm.stats import COUNTS, FEATURES, measure, sample
 from aligna.llm.trees import boost
 
@@ -72,6 +72,7 @@ def apply_rules(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_col
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin()
         for batch in batches:
             texts = raw(batch.column(1))
             for a, b in slices(texts):

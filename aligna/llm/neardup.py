@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import mix, numbered, raw, settle, slices, word_hashes
+from aligna.llm.common import begin, mix, numbered, raw, settle, slices, word_hashes
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW = np.uint64(0xFFFFFFFF)
@@ -160,6 +160,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
     """id, n_shingles, a 128-bit fingerprint (f1, f2) of the set, and its band keys (none for an empty set)."""
 
     def run(batches):
+        begin()
         for batch in batches:
             texts = raw(batch.column(1))
             for a, b in slices(texts):
@@ -243,6 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _confirmed(docs: DataFrame, members: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     def sets(batches):
+        begin()
         for batch in batches:
             texts = raw(batch.column(1))
             for a, b in slices(texts):

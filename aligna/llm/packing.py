@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from aligna.llm.common import raw
+from aligna.llm.common import KEPT, begin, raw
 
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
 #: A chunk that is one run of letters and then one run of marks: two pre-tokens that never merge.
@@ -25,7 +25,7 @@ class Encoder:
     chunks (split at ASCII white space) end to end; chunks are kept in a cache of bounded size.
     """
 
-    MOST, MOST_WORDS = 200_000, 500_000
+    MOST, MOST_WORDS = 150_000, 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,20 +76,21 @@ class Encoder:
         if missing:
             if len(seen) + len(missing) > self.MOST:
                 self.chunks, missing = {}, every
-            self._learn(list(missing))
+            gc.disable()  # many tuples live here for a moment, none in a cycle
+            try:
+                self._learn(list(missing))
+            finally:
+                gc.enable()
             seen = self.chunks
         return [b"".join(map(seen.__getitem__, ws)) for ws in split]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
-    if path not in _ENCODERS:
-        gc.disable()  # the caches hold no cycles, and walking them again and again costs more than the encoding
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    begin("packing")
+    if "packing" not in KEPT or KEPT["packing"][0] != path:
+        KEPT["packing"] = path, Encoder(path)
+    return KEPT["packing"][1]
 
 
 class SumOfSquares:

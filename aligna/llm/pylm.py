@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import mix, numbered, raw, settle, word_hashes
+from aligna.llm.common import begin, mix, numbered, raw, settle, word_hashes
 
 CONTEXT_BITS, CHUNK, SWEEPS, BURN_IN = 12, 12 << 20, 3, 1
 #: The end of a text, and what stands before its first word; no word is a space.
@@ -194,6 +194,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     n_buckets = max(1, -(-size // CHUNK))
 
     def chunks(batches):
+        begin()
         first = TaskContext.get().partitionId() << 24
         ids, texts, held, size, n = [], [], [], 0, 0
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import mix, numbered, raw, slices, word_hashes
+from aligna.llm.common import begin, mix, numbered, raw, slices, word_hashes
 
 #: Inputs of the quality models. All are from the text alone.
 FEATURES = ["log_words", "word_length", "symbol_share", "digit_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "unique_share", "line_words", "long_word_share", "one_char_share", "top_word_share", "upper_word_share", "beyond_ascii_share", "bang_share", "bracket_share"]
@@ -105,6 +105,7 @@ def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        begin()
         for batch in batches:
             texts = raw(batch.column(1))
             for a, b in slices(texts):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import raw
+from aligna.llm.common import KEPT, begin, raw
 
 #: Fixed value: the published split pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,7 +40,7 @@ class Counter:
     such a place, and nothing before it looks past it. Pieces are counted once and kept in a bounded cache.
     """
 
-    MOST, MOST_TOKENS = 200_000, 500_000
+    MOST, MOST_TOKENS = 150_000, 400_000
 
     def __init__(self, path: str, single: frozenset[str]):
         import regex
@@ -103,14 +103,15 @@ class Counter:
         if missing:
             if len(seen) + len(missing) > self.MOST:
                 self.pieces, missing = {}, every
-            self._learn(list(missing))
+            gc.disable()  # many lists live here for a moment, none in a cycle
+            try:
+                self._learn(list(missing))
+            finally:
+                gc.enable()
             seen = self.pieces
         return [n + sum(map(seen.__getitem__, ps)) for n, ps in zip(extra, parts, strict=True)]
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit (n_tokens > limit), as the tokenizer counts the whole text.
 
@@ -122,10 +123,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     single = docs.sparkSession.sparkContext.broadcast(proven_single(tokenizer))  # at most the vocabulary
 
     def run(batches):
-        if tokenizer not in _COUNTERS:
-            gc.disable()  # the caches hold no cycles
-            _COUNTERS[tokenizer] = Counter(tokenizer, single.value)
-        counter = _COUNTERS[tokenizer]
+        begin("tokens")
+        if "tokens" not in KEPT or KEPT["tokens"][0] != tokenizer:
+            KEPT["tokens"] = tokenizer, Counter(tokenizer, single.value)
+        counter = KEPT["tokens"][1]
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)

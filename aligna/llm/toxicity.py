@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import carried, mix, numbered, raw, slices, word_hashes
+from aligna.llm.common import begin, carried, mix, numbered, raw, slices, word_hashes
 
 BITS = 20
 #: A-Z to a-z; ASCII that is neither a digit nor a letter to a space.
@@ -82,6 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", id_col
     chosen = part[0].unionByName(part[1])
 
     def run(batches):
+        begin()
         for batch in batches:
             texts = raw(batch.column(2))
             for a, b in slices(texts):
