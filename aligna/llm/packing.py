@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from aligna.llm.common import KEPT, begin, raw
 
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
-#: A chunk that is one run of letters and then one run of marks: two pre-tokens that never merge.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?)|%]*)")
+#: A line that is one run of letters and then one run of marks (two pre-tokens that never merge), or any other line.
+PLAIN = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?)|%]*)$|^.+$", re.MULTILINE)
 
 
 class Encoder:
@@ -57,15 +57,13 @@ class Encoder:
     def _learn(self, missing: list[bytes]) -> None:
         if len(self.words) + len(missing) > self.MOST_WORDS:
             self.words = {"": b""}
-        match = PLAIN.fullmatch
-        found = [m.groups() if (m := match(c.decode().lower())) else None for c in missing]
-        plain = [(c, *f) for c, f in zip(missing, found, strict=True) if f]
-        other = [c for c, f in zip(missing, found, strict=True) if not f]
+        found = PLAIN.findall(b"\n".join(missing).decode().lower())  # a chunk holds no line end; ("", "") if not plain
         known = self.words
-        known.update(self._words(list({w for _, w, _ in plain}.difference(known))))
-        marks = list({m for _, _, m in plain})
-        tails = dict(zip(marks, self._one_by_one(marks), strict=True))
-        self.chunks.update([(c, known[w] + tails[m] if m else known[w]) for c, w, m in plain])
+        known.update(self._words(list({w for w, _ in found}.difference(known))))
+        marks = list({m for _, m in found}.difference({""}))
+        tails = {"": b""} | dict(zip(marks, self._one_by_one(marks), strict=True))
+        other = [c for c, (w, m) in zip(missing, found, strict=True) if not w and not m]
+        self.chunks.update(zip(missing, [known[w] + tails[m] for w, m in found], strict=True))
         self.chunks.update(zip(other, self._one_by_one([c.decode() for c in other]), strict=True))
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
