@@ -94,7 +94,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def slices(docs: list[bytes], most: int = 4 << 20):
+def slices(docs: list[bytes], most: int = 1 << 20):
     """Bounds of runs of documents of about that many bytes, so that numpy work on a run stays small."""
     start, size = 0, 0
     for i, d in enumerate(docs):
