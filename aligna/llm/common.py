@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -33,6 +34,28 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def heavy_rows(spark: SparkSession, most: int = 4):
+    """For queries run within over rows of many MB: few of them at once go to Python, and shuffle files end with the query."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(most), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drop(settled: DataFrame) -> None:
+    """Delete the files of a table that settle has written and no later query reads."""
+    spark = settled.sparkSession
+    for folder in {f.rpartition("/")[0] for f in settled.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: What a Python worker keeps from task to task, by operator, and how to drop it.
 KEPT: dict[str, object] = {}
 

@@ -1,15 +1,17 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling, for scoring whole texts.
 
-Restaurants: one for each context class (the preceding word, hashed to 2**CONTEXT_BITS classes), all of whose
+Restaurants: one for each context (the preceding word, by its 64-bit hash, as many as the corpus has), all of whose
 tables are customers of one root restaurant over words, whose base is uniform over the V training words and one
 unknown word. Words are keyed by a 64-bit hash.
 
-Data flow. Tasks read documents in chunks of about CHUNK bytes and send, for every word they hold, its context
-classes and counts to one of as many buckets (by the word's hash) as there are chunks. A bucket so has all customers
-of its words; a word's rows are bounded by the number of classes, and only sums by class (2**CONTEXT_BITS numbers)
-meet at the driver after each sweep. Every sweep seats each (class, word) anew given all others (the class's table
-total is that of the sweep before, as in distributed Gibbs samplers). Generators are seeded by bucket and sweep, so a
-lost task gives the same seats again. Buckets return averaged log probabilities to the chunks, which sum them up.
+Data flow. Tasks write documents down as chunks of about CHUNK bytes and send, for every word a chunk holds, its
+contexts and counts to one of as many buckets (by the word's hash) as there are chunks. A bucket so has all customers
+of its words. What a context's customers and tables sum up to over all buckets is added in shards by the context's
+hash, which answer the buckets that ask (totals); only four sums over the corpus and two after each sweep meet at
+the driver. Every sweep seats each (context, word) anew given all others (the context's table total is that of the
+sweep before, as in distributed Gibbs samplers). A pair met once always has one table, so that sweeps carry only the
+others. Generators are seeded by bucket and sweep, so a lost task gives the same seats again. Buckets return averaged
+log probabilities to the chunks, which sum them up.
 """
 
 from __future__ import annotations
@@ -21,12 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import begin, mix, numbered, raw, settle, word_hashes
+from aligna.llm.common import begin, drop, heavy_rows, numbered, raw, settle, word_hashes
 
-CONTEXT_BITS, CHUNK, SWEEPS, BURN_IN = 12, 12 << 20, 3, 1
+CHUNK, SWEEPS, BURN_IN = 12 << 20, 3, 1
 #: The end of a text, and what stands before its first word; no word is a space.
 END = b" "
-CLASSES = 1 << CONTEXT_BITS
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -78,79 +79,182 @@ def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, p: np.ndarray, theta:
     return out
 
 
-def chunk_rows(chunk: int, ids, texts: list[bytes], held: list[bool], n_buckets: int):
-    """What a chunk keeps (its tokens as numbers of (word, class) pairs) and what it sends to each bucket."""
+def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool]) -> dict:
+    """A chunk as kept: sizes of its texts, word numbers, the words' hashes and their ranks by hash, the end's number."""
     lists = [t.lower().split() for t in texts]
     for words in lists:
         words.append(END)
     flat, bounds, words = numbered(lists)
     hashes = word_hashes(words)
-    order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    hashes = hashes[order]
-    tokens = rank[flat]
-    classes = (mix(hashes ^ np.uint64(0x5DEECE66D)) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+    rank = np.empty(len(words), np.uint32)
+    rank[np.argsort(hashes, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+    return {"chunk": chunk, "ids": ids, "held": held, "sizes": np.diff(bounds).astype(np.uint32).tobytes(), "flat": flat.astype(np.uint32).tobytes(), "rank": rank.tobytes(), "hashes": hashes.tobytes(), "end": words.index(END)}
+
+
+def pairs_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: the ranks of word and context of each distinct pair, by word and context, each token's pair, sizes."""
+    sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+    rank = np.frombuffer(row["rank"], np.uint32).astype(np.int64)
+    tokens = rank[np.frombuffer(row["flat"], np.uint32)]
     before = np.empty(len(tokens), np.int64)
-    before[1:] = classes[tokens[:-1]]
-    before[bounds[:-1]] = classes[rank[words.index(END)]]
-    pairs, inverse = np.unique(tokens << CONTEXT_BITS | before, return_inverse=True)
-    train = ~np.repeat(np.array(held, bool), np.diff(bounds))
-    counts = np.bincount(inverse[train], minlength=len(pairs)).astype(np.uint32)
-    word = pairs >> CONTEXT_BITS
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(sizes) - sizes] = rank[row["end"]]
+    pairs, inverse = np.unique(tokens * len(rank) + before, return_inverse=True)
+    return pairs // len(rank), pairs % len(rank), inverse, sizes
+
+
+def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """One of n ranges of 64-bit hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def sent(row, n_buckets: int):
+    """What a chunk sends to each bucket: hashes of its words, how many pairs each has, their contexts and counts."""
+    word, before, inverse, sizes = pairs_of(row)
+    hashes = np.sort(np.frombuffer(row["hashes"], np.uint64))
+    train = ~np.repeat(np.array(row["held"], bool), sizes)
+    counts = np.bincount(inverse[train], minlength=len(word)).astype(np.uint32)
+    per_word = np.bincount(word, minlength=len(hashes)).astype(np.uint32)
+    bucket, contexts = shard_of(hashes, n_buckets), hashes[before]
     starts = np.searchsorted(bucket, np.arange(n_buckets + 1))
     pair_starts = np.searchsorted(word, starts)
-    per_word = np.bincount(word, minlength=len(hashes)).astype(np.uint16)
-    yield {"kind": "chunk", "chunk": chunk, "bucket": None, "ids": ids, "held": held, "a": np.diff(bounds).astype(np.uint32).tobytes(), "b": inverse.astype(np.uint32).tobytes(), "c": per_word.tobytes(), "d": None}
-    class_of = (pairs & (CLASSES - 1)).astype(np.uint16)
     for b in np.unique(bucket).tolist():
         w, p = slice(starts[b], starts[b + 1]), slice(pair_starts[b], pair_starts[b + 1])
-        yield {"kind": "pairs", "chunk": chunk, "bucket": b, "ids": None, "held": None, "a": hashes[w].tobytes(), "b": per_word[w].tobytes(), "c": class_of[p].tobytes(), "d": counts[p].tobytes()}
+        yield {"chunk": row["chunk"], "bucket": b, "a": hashes[w].tobytes(), "b": per_word[w].tobytes(), "c": contexts[p].tobytes(), "d": counts[p].tobytes()}
 
 
 def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for a bucket: its words' pairs with summed counts, where each chunk's pairs are, and sums by class."""
+    """One row for a bucket: its words' pairs with summed counts, its contexts, and where each chunk's pairs are."""
     pdf = pdf.sort_values("chunk")
     hashes = [np.frombuffer(x, np.uint64) for x in pdf["a"]]
-    sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["b"]]
+    sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["b"]]
     words, rank = np.unique(np.concatenate(hashes), return_inverse=True)
-    code = np.repeat(rank, np.concatenate(sizes)) << CONTEXT_BITS | np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["c"]]).astype(np.int64)
-    pairs, at = np.unique(code, return_inverse=True)
+    contexts, cls = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["c"]]), return_inverse=True)
+    pairs, at = np.unique(np.repeat(rank, np.concatenate(sizes)) * len(contexts) + cls, return_inverse=True)
     counts = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["d"]]), len(pairs)).astype(np.int64)
-    word, cls = pairs >> CONTEXT_BITS, pairs & (CLASSES - 1)
+    word, cls = pairs // len(contexts), pairs % len(contexts)
     of_word = np.bincount(word, counts, len(words))
     ends = np.cumsum([s.sum() for s in sizes])[:-1]
-    maps = [m.astype(np.uint32).tobytes() for m in np.split(at, ends)]
+    maps = [np.diff(m, prepend=0).astype(np.uint32).tobytes() for m in np.split(at, ends)]  # in order, so that steps are small
     return pd.DataFrame(
         {
             "bucket": [int(pdf["bucket"].iloc[0])], "chunks": [pdf["chunk"].tolist()], "maps": [maps], "sizes": [list(pdf["b"])],
-            "word": [word.astype(np.uint32).tobytes()], "cls": [cls.astype(np.uint16).tobytes()], "c": [counts.astype(np.uint32).tobytes()],
-            "sums": [[int(counts.sum()), int((of_word > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())]],
-            "by_class": [np.concatenate([np.bincount(cls, counts > 0, CLASSES), np.bincount(cls, counts, CLASSES)]).astype(np.int64).tolist()],
+            "word": [word.astype(np.uint32).tobytes()], "cls": [cls.astype(np.uint32).tobytes()], "c": [counts.astype(np.uint32).tobytes()],
+            "keys": [contexts.tobytes()], "sums": [[int(counts.sum()), int((of_word > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())]],
         }
     )
 
 
-MERGED = "bucket long, chunks array<long>, maps array<binary>, sizes array<binary>, word binary, cls binary, c binary, sums array<long>, by_class array<long>"
+MERGED = "bucket long, chunks array<long>, maps array<binary>, sizes array<binary>, word binary, cls binary, c binary, keys binary, sums array<long>"
+CORE = "bucket long, word binary, cls binary, c binary, keys binary, static binary, t binary, root binary, t0 binary, customers long, root_tables long"
+MESSAGE = "bucket long, want boolean, keys binary, x binary"
+
+
+def _columns(row) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(row[x], np.uint32).astype(np.int64) for x in ("word", "cls", "c"))
+
+
+def core_row(row) -> pd.DataFrame:
+    """A merged bucket's pairs met more than once, their contexts, and each word's customers of the other pairs."""
+    word, cls, c = _columns(row)
+    n_words, many = int(word[-1]) + 1, c > 1
+    used, at = np.unique(cls[many], return_inverse=True)
+    static, root = np.bincount(word, c == 1, n_words), np.bincount(word, c > 0, n_words)
+    found = {"word": word[many], "cls": at, "c": c[many], "static": static, "t": np.ones(many.sum()), "root": root > 0}
+    found = {k: [v.astype(np.uint32).tobytes()] for k, v in found.items()}
+    keys = np.frombuffer(row["keys"], np.uint64)[used].tobytes()
+    return pd.DataFrame({"bucket": [int(row["bucket"])], **found, "keys": [keys], "t0": [b""], "customers": [int(root.sum())], "root_tables": [int((root > 0).sum())]})
+
+
+def opening(row) -> list[dict]:
+    """A merged bucket's tables by context at the start; it asks for the totals of contexts whose seats can change."""
+    _, cls, c = _columns(row)
+    keys = np.frombuffer(row["keys"], np.uint64)
+    seen, moves = np.bincount(cls, c > 0, len(keys)).astype(np.uint32), np.bincount(cls, c > 1, len(keys)) > 0
+    return [{"bucket": row["bucket"], "want": want, "keys": keys[at].tobytes(), "x": seen[at].tobytes()} for want, at in ((True, moves), (False, ~moves & (seen > 0)))]
+
+
+def closing(row) -> list[dict]:
+    """A merged bucket's customers and tables at the start by context; it asks for the totals of all its contexts."""
+    _, cls, c = _columns(row)
+    n = len(row["keys"]) // 8
+    x = np.zeros((2 + SWEEPS - BURN_IN, n), np.uint32)
+    x[0], x[1] = np.bincount(cls, c, n), np.bincount(cls, c > 0, n)
+    return [{"bucket": row["bucket"], "want": True, "keys": row["keys"], "x": x.tobytes()}]
+
+
+def added(row) -> np.ndarray:
+    """Tables of a core row's contexts beyond one for each pair."""
+    cls, t = np.frombuffer(row["cls"], np.uint32), np.frombuffer(row["t"], np.uint32).astype(np.int64)
+    return np.bincount(cls, t - 1, len(row["keys"]) // 8).astype(np.uint32)
+
+
+def _each(make):
+    def run(frames):
+        for pdf in frames:
+            for _, row in pdf.iterrows():
+                yield pd.DataFrame(make(row))
+
+    return run
+
+
+def totals(messages: DataFrame, n_shards: int) -> DataFrame:
+    """Sums by key over all messages, sent back in order to the buckets that want them: bucket, shard, x.
+
+    x: numbers of four bytes, one row after another, each as long as keys. Keys are sorted, so shards are in order too.
+    """
+
+    def split(frames):
+        for pdf in frames:
+            for _, row in pdf.iterrows():
+                keys = np.frombuffer(row["keys"], np.uint64)
+                if len(keys):
+                    x, shard = np.frombuffer(row["x"], np.uint32).reshape(-1, len(keys)), shard_of(keys, n_shards)
+                    starts = np.searchsorted(shard, np.arange(n_shards + 1))
+                    for s in np.unique(shard).tolist():
+                        at = slice(starts[s], starts[s + 1])
+                        yield pd.DataFrame({"shard": [s], "bucket": [row["bucket"]], "want": [row["want"]], "keys": [keys[at].tobytes()], "x": [x[:, at].tobytes()]})
+
+    def add(pdf):
+        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        x = np.concatenate([np.frombuffer(v, np.uint32).reshape(-1, len(k)) for k, v in zip(keys, pdf["x"], strict=True)], axis=1)
+        sums = np.stack([np.bincount(at, v, len(found)) for v in x]).astype(np.uint32)
+        places = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+        back = [(b, sums[:, p].tobytes()) for b, want, p in zip(pdf["bucket"], pdf["want"], places, strict=True) if want]
+        return pd.DataFrame({"bucket": [b for b, _ in back], "shard": [int(pdf["shard"].iloc[0])] * len(back), "x": [x for _, x in back]})
+
+    rows = messages.mapInPandas(split, "shard long, bucket long, want boolean, keys binary, x binary")
+    return rows.groupBy("shard").applyInPandas(add, "bucket long, shard long, x binary")
+
+
+def _answer(back: pd.DataFrame, width: int) -> np.ndarray:
+    """The shards' answers to a bucket, joined: one row for each of the numbers asked for."""
+    parts = [np.frombuffer(x, np.uint32).reshape(width, -1) for x in back.sort_values("shard")["x"]]
+    return np.concatenate([np.zeros((width, 0), np.uint32), *parts], axis=1).astype(np.int64)
 
 
 class Bucket:
-    """A bucket's seats, replayed sweep by sweep from what the driver has summed after each."""
+    """A bucket's seats: of all its pairs, or of those met more than once beside fixed customers of each word.
+
+    cls: numbers of two or four bytes, the place of a pair's context in the totals given.
+    """
 
     def __init__(self, row, setting: dict):
         self.number, self.setting = int(row["bucket"]), setting
         self.word = np.frombuffer(row["word"], np.uint32).astype(np.int64)
-        self.cls = np.frombuffer(row["cls"], np.uint16).astype(np.int64)
         self.c = np.frombuffer(row["c"], np.uint32).astype(np.int64)
-        self.n_words = int(self.word[-1]) + 1 if len(self.word) else 0
+        self.cls = np.frombuffer(row["cls"], np.uint16 if len(row["cls"]) < len(row["c"]) else np.uint32).astype(np.int64)
+        static = row.get("static")
+        self.n_words = len(static) // 4 if static is not None else int(self.word[-1]) + 1 if len(self.word) else 0
+        self.static = np.zeros(self.n_words, np.int64) if static is None else np.frombuffer(static, np.uint32).astype(np.int64)
         self.t = (self.c > 0).astype(np.int64)
         self.count()
         self.root_t = (self.customers > 0).astype(np.int64)
         self.base = 1.0 / (setting["v"] + 1)
 
     def count(self):
-        self.customers = np.bincount(self.word, self.t, self.n_words).astype(np.int64)
+        self.customers = np.bincount(self.word, self.t, self.n_words).astype(np.int64) + self.static
 
     def root_p(self, state: dict) -> np.ndarray:
         s = self.setting
@@ -171,6 +275,27 @@ class Bucket:
         return (self.c - s["d2"] * self.t + (s["theta2"] + s["d2"] * state["tables"][self.cls]) * p) / (s["theta2"] + s["by_class"][self.cls])
 
 
+def sweep_with(setting: dict, k: int, state: dict):
+    """A function that seats a core row anew in sweep k, given the shards' answers."""
+
+    def sweep(one: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        row = one.iloc[0].to_dict()
+        tables = _answer(back, 1)[0]
+        if k:
+            tables = tables + np.frombuffer(row["t0"], np.uint32)
+        else:
+            row["t0"] = tables.astype(np.uint32).tobytes()
+        b = Bucket(row, setting)
+        b.t = np.frombuffer(row["t"], np.uint32).astype(np.int64)
+        b.root_t = np.frombuffer(row["root"], np.uint32).astype(np.int64)
+        b.count()
+        b.sweep(k, state | {"tables": tables})
+        row |= {"t": b.t.astype(np.uint32).tobytes(), "root": b.root_t.astype(np.uint32).tobytes(), "customers": int(b.customers.sum()), "root_tables": int(b.root_t.sum())}
+        return pd.DataFrame([row])
+
+    return sweep
+
+
 def _sums(rows: DataFrame, name: str) -> np.ndarray:
     """An array column summed element by element."""
     found = rows.select(F.posexplode(name).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
@@ -180,6 +305,73 @@ def _sums(rows: DataFrame, name: str) -> np.ndarray:
     return out
 
 
+def fitted(kept: DataFrame, n_buckets: int, theta: tuple[float, float]) -> tuple[DataFrame, int, int]:
+    """For each chunk and bucket the log probabilities of the chunk's pairs and its words' counts; all tokens and words learnt."""
+
+    def send(frames):
+        for pdf in frames:
+            for _, row in pdf.iterrows():
+                for x in sent(row, n_buckets):
+                    yield pd.DataFrame([x])
+
+    pairs = kept.drop("ids").mapInPandas(send, "chunk long, bucket long, a binary, b binary, c binary, d binary")
+    merged = settle(pairs.groupBy("bucket").applyInPandas(merge, MERGED), "merged")
+    n, v, n1, n2 = [*_sums(merged, "sums"), 0, 0, 0, 0][:4]
+    d = float(np.clip(n1 / max(1, n1 + 2 * n2), 0.05, 0.95))
+    setting = {"v": v, "d1": d, "d2": d, "theta1": theta[0], "theta2": theta[1]}
+    lean = merged.select("bucket", "word", "cls", "c", "keys")
+    core = settle(lean.mapInPandas(_each(core_row), CORE), "core")
+    ask, cores, states = lean.mapInPandas(_each(opening), MESSAGE), [], []
+    for k in range(SWEEPS + 1):
+        found = core.agg(F.sum("customers"), F.sum("root_tables")).first()
+        states.append({"customers": float(found[0] or 0), "root_tables": float(found[1] or 0)})
+        cores.append(core)
+        if k == SWEEPS:
+            break
+        core = settle(core.groupBy("bucket").cogroup(totals(ask, n_buckets).groupBy("bucket")).applyInPandas(sweep_with(setting, k, states[k]), CORE), "core")
+        ask = core.select("bucket", "cls", "keys", "t").mapInPandas(_each(lambda r: [{"bucket": r["bucket"], "want": True, "keys": r["keys"], "x": added(r).tobytes()}]), MESSAGE)
+
+    used = range(BURN_IN + 1, SWEEPS + 1)
+    width, ask, given = 2 + len(used), lean.mapInPandas(_each(closing), MESSAGE), None
+    for j, k in enumerate(used):
+
+        def late(row, j=j):
+            x = np.zeros((width, len(row["keys"]) // 8), np.uint32)
+            x[2 + j] = added(row)
+            return [{"bucket": row["bucket"], "want": False, "keys": row["keys"], "x": x.tobytes()}]
+
+        ask = ask.unionByName(cores[k].select("bucket", "cls", "keys", "t").mapInPandas(_each(late), MESSAGE))
+        seats = cores[k].select("bucket", F.lit(-k).cast("long").alias("shard"), F.col("t").alias("x"), F.col("root").alias("y"))
+        given = seats if given is None else given.unionByName(seats)
+    given = settle(given.unionByName(totals(ask, n_buckets).withColumn("y", F.lit(None).cast("binary"))), "given")
+
+    def predict(one, back):
+        row, p = one.iloc[0].to_dict(), 0.0
+        x = _answer(back[back["shard"] >= 0], width)
+        b = Bucket(row, setting | {"by_class": x[0]})
+        for j, k in enumerate(used):
+            seats = back[back["shard"] == -k].iloc[0]
+            b.t = (b.c > 0).astype(np.int64)
+            b.t[b.c > 1] = np.frombuffer(seats["x"], np.uint32)
+            b.root_t = np.frombuffer(seats["y"], np.uint32).astype(np.int64)
+            b.count()
+            p = p + b.predict(states[k] | {"tables": x[1] + x[2 + j]}) / len(used)
+        log = np.log10(p).astype(np.float32)
+        of_word = np.bincount(b.word, b.c, b.n_words).astype(np.uint32)
+        out = {"chunk": [], "bucket": [], "log": [], "counts": [], "sizes": []}
+        for chunk, at, sizes in zip(row["chunks"], row["maps"], row["sizes"], strict=True):
+            at, of = np.cumsum(np.frombuffer(at, np.uint32)), np.frombuffer(sizes, np.uint32).astype(np.int64)
+            for name, value in zip(out, (chunk, b.number, log[at].tobytes(), of_word[b.word[at[np.cumsum(of) - of]]].tobytes(), sizes), strict=True):
+                out[name].append(value)
+        return pd.DataFrame(out)
+
+    pieces = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c").groupBy("bucket").cogroup(given.groupBy("bucket"))
+    back = settle(pieces.applyInPandas(predict, "chunk long, bucket long, log binary, counts binary, sizes binary"), "back")
+    for table in (merged, given, *cores):
+        drop(table)
+    return back, n, v
+
+
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", theta: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
@@ -197,67 +389,29 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         begin()
         first = TaskContext.get().partitionId() << 24
         ids, texts, held, size, n = [], [], [], 0, 0
-
-        def rows():
-            found = list(chunk_rows(first + n, ids, texts, held, n_buckets))
-            return pa.RecordBatch.from_pylist(found[:1], schema=schema), pa.RecordBatch.from_pylist(found[1:], schema=schema)
-
-        schema = None
         for batch in batches:
-            schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in "abcd"]])
+            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in ("sizes", "flat", "rank", "hashes")], ("end", pa.int64())])
             for i, t, h in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t)
                 held.append(h)
                 size += len(t) + 8
                 if size >= CHUNK:
-                    yield from rows()
+                    yield pa.RecordBatch.from_pylist([chunk_row(first + n, ids, texts, held)], schema=schema)
                     ids, texts, held, size, n = [], [], [], 0, n + 1
         if texts:
-            yield from rows()
+            yield pa.RecordBatch.from_pylist([chunk_row(first + n, ids, texts, held)], schema=schema)
 
-    parts = settle(docs.mapInArrow(chunks, f"kind string, chunk long, bucket long, ids array<{kind}>, held array<boolean>, a binary, b binary, c binary, d binary"), "chunks", "kind")
-    merged = settle(parts.where("kind = 'pairs'").select("chunk", "bucket", "a", "b", "c", "d").groupBy("bucket").applyInPandas(merge, MERGED), "merged")
-    n, v, n1, n2 = [*_sums(merged, "sums"), 0, 0, 0, 0][:4]
-    by_class = np.concatenate([_sums(merged, "by_class"), np.zeros(2 * CLASSES)])[: 2 * CLASSES]
-    d = float(np.clip(n1 / max(1, n1 + 2 * n2), 0.05, 0.95))
-    setting = {"v": v, "d1": d, "d2": d, "theta1": theta[0], "theta2": theta[1], "by_class": by_class[CLASSES:]}
-    states = [{"tables": by_class[:CLASSES], "customers": by_class[:CLASSES].sum(), "root_tables": float(v)}]
-    for _ in range(SWEEPS):
-        sent = [*states]
-
-        def tables(frames, sent=sent):
-            for pdf in frames:
-                for _, row in pdf.iterrows():
-                    b = Bucket(row, setting)
-                    for k, state in enumerate(sent):
-                        b.sweep(k, state)
-                    yield pd.DataFrame({"t": [np.append(np.bincount(b.cls, b.t, CLASSES), b.root_t.sum()).astype(np.int64).tolist()]})
-
-        total = np.concatenate([_sums(merged.select("bucket", "word", "cls", "c").mapInPandas(tables, "t array<long>"), "t"), np.zeros(CLASSES + 1)])[: CLASSES + 1]
-        states.append({"tables": total[:CLASSES], "customers": total[:CLASSES].sum(), "root_tables": total[CLASSES]})
-
-    def predict(frames):
-        for pdf in frames:
-            for _, row in pdf.iterrows():
-                b, p = Bucket(row, setting), 0.0
-                for k in range(SWEEPS):
-                    b.sweep(k, states[k])
-                    if k >= BURN_IN:
-                        p = p + b.predict(states[k + 1]) / (SWEEPS - BURN_IN)
-                log = np.log10(p).astype(np.float32)
-                of_word = np.bincount(b.word, b.c, b.n_words).astype(np.uint32)
-                for chunk, at, sizes in zip(row["chunks"], row["maps"], row["sizes"], strict=True):
-                    at, sizes = np.frombuffer(at, np.uint32), np.frombuffer(sizes, np.uint16).astype(np.int64)
-                    first = np.cumsum(sizes) - sizes
-                    yield pd.DataFrame({"chunk": [chunk], "bucket": [b.number], "log": [log[at].tobytes()], "counts": [of_word[b.word[at[first]]].tobytes()]})
+    kept = settle(docs.mapInArrow(chunks, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, flat binary, rank binary, hashes binary, end long"), "chunks")
+    with heavy_rows(docs.sparkSession):
+        back, n, v = fitted(kept, n_buckets, theta)
 
     def scored(chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         row, back = chunk.iloc[0], back.sort_values("bucket")
+        _, _, tokens, sizes = pairs_of(row)
         log = np.frombuffer(b"".join(back["log"]), np.float32).astype(np.float64)
         count = np.frombuffer(b"".join(back["counts"]), np.uint32).astype(np.int64)
-        of_pair = np.repeat(count, np.frombuffer(row["c"], np.uint16).astype(np.int64))
-        tokens, sizes = np.frombuffer(row["b"], np.uint32), np.frombuffer(row["a"], np.uint32).astype(np.int64)
+        of_pair = np.repeat(count, np.frombuffer(b"".join(back["sizes"]), np.uint32).astype(np.int64))
         starts = np.cumsum(sizes) - sizes
         base = np.log10((of_pair + 0.5) / (n + 0.5 * (v + 1)))
 
@@ -267,7 +421,5 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         ids = list(row["ids"])
         return pd.DataFrame({"id": pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else "object"), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": per_doc((of_pair > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), int(n)), "base_score": per_doc(base), "score": per_doc(log)})
 
-    back = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c").mapInPandas(predict, "chunk long, bucket long, log binary, counts binary")
-    kept = parts.where("kind = 'chunk'").select("chunk", "ids", "held", "a", "b", "c")
-    out = kept.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = kept.drop("hashes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

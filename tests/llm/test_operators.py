@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from aligna.llm import decontam, gbdt, neardup, packing, pylm, rules, secrets, stats, tokencount, toxicity, trees, warc
-from aligna.llm.common import carried
+from aligna.llm.common import carried, mix, word_hashes
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -143,6 +143,33 @@ def test_predictions_sum_to_one():
             assert abs(p[cls == k2].sum() + rest - 1) < 1e-9
 
 
+def test_every_preceding_word_is_a_context_of_its_own(spark):
+    """What follows one word tells nothing of another, that of words whose hashes agree in their first bits included."""
+    n = 2000
+    cls = mix(word_hashes([b"a%d" % i for i in range(n)]) ^ np.uint64(0x5DEECE66D)) >> np.uint64(52)
+    first, twins = {}, []
+    for i, c in enumerate(cls.tolist()):
+        twins += [(first[c], i)] if c in first else []
+        first[c] = i
+    rows = [(i, f"a{i} b{i} " * 3) for i in range(n)] + [(n + 2 * k + x, f"a{i} b{(i, j)[x]}") for k, (i, j) in enumerate(twins) for x in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pylm.score(df, F.col("doc_id") >= n).collect()}
+    assert len(got) == len(rows) and len(twins) > 300
+    assert all(got[n + 2 * k] - got[n + 2 * k + 1] > 1 for k in range(len(twins)))
+
+
+def test_totals_by_context_over_many_buckets(docs, texts, monkeypatch):
+    """With many chunks and buckets the counts are the same and the scores close to those of one bucket."""
+    one = {r.doc_id: r for r in pylm.score(docs, F.lit(False)).collect()}
+    monkeypatch.setattr(pylm, "CHUNK", sum(len(t.encode()) for t in texts.values()) // 7)
+    many = {r.doc_id: r for r in pylm.score(docs, F.lit(False)).collect()}
+    assert one.keys() == many.keys()
+    for i, r in one.items():
+        m = many[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (m.n_tokens, m.n_known, m.train_tokens) and abs(r.base_score - m.base_score) < 1e-6
+        assert abs(r.score - m.score) < 0.05 * abs(r.score)
+
+
 def test_seating_follows_the_conditional():
     """With c = 3 the conditional of t is a**t S(3, t) with factors from theta; compare long-run frequencies."""
     d, theta, p, rest = 0.5, 1.0, 0.2, 10
