@@ -18,8 +18,22 @@ WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Least bits a character in a window, by the class of the whole candidate; log2(20) = 4.32 is the most.
 CLASSES = [(r"^[0-9a-fA-F]+$", 2.8), (r"^[A-Za-z]+$", 4.1), (r"^[A-Za-z0-9]+$", 3.4), (r"", 3.7)]
-#: Candidates that are no secrets: placeholders, UUIDs, words joined by marks, rulers and paths of words.
-ALLOW = r"(?i)example|placeholder|changeme|dummy|xxxx|your[_-]|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[/=_-]*[a-z]+([-_/=+]+[a-z]+)+[/=_-]*$|^[-_=+/]+$"
+#: Candidates that are no secrets: placeholders, UUIDs and rulers; for entropy, words joined by marks and paths of words too.
+ALLOW = r"(?i)example|placeholder|changeme|dummy|xxxx|your[_-]|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[-_=+/]+$"
+JOINED = r"(?i)^[/=_-]*[a-z]+([-_/=+]+[a-z]+)+[/=_-]*$"
+#: The 200 most frequent pairs of letters in half of some English source code and its comments.
+PAIRS = """
+ab ac ad ag ai al am an ap ar as at av ax ay ba be bi bj bl bo bu ca ce ch ci ck cl co ct da dd de di do dt du ea ec ed
+ee ef eg el em en ep eq er es et ew ex fa ff fi fl fo fr fu ge gi gn gr gs ha he hi ho ia ic id ie if ig il im in io ip
+ir is it iv iz ke la ld le lf li ll lo ls lt lu ly ma mb me mi mo mp ms mu na nc nd ne nf ng ni no ns nt nu nv oa ob oc
+od ol om on oo op or os ot ou ow pa pe pi pl po pp pr pt py qu ra rc rd re rg ri rk rm rn ro rr rs rt ru ry sa sc se sh
+si sk so sp ss st su ta te th ti to tr ts tt tu ty ua ub ue ul um un up ur us ut va ve wa wh wi wr xi xp xt yp ys yt ze
+""".split()
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+#: A letter that makes with the next one neither a frequent pair nor a step of the alphabet.
+RARE = rf"(?=[a-z]{{2}})(?!{'|'.join([*PAIRS, *(ALPHABET[i : i + 2] for i in range(25))])})[a-z]"
+#: Least rare pairs and least different characters in a window of a run without digits.
+RARE_LEAST, CHARS_LEAST = 7, 9
 
 SPAN = "array<struct<start:bigint,ord:int,end:bigint>>"
 
@@ -81,21 +95,36 @@ def hot_range(s: Column, least: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), zero, step)
 
 
+def rare_range(s: Column) -> Column:
+    """As hot_range, for a run without digits: windows that hold enough rare pairs of letters to be no words."""
+    low, w = F.lower(s), WINDOW
+    marked = F.regexp_replace(low, RARE, "1")
+
+    def rare(i):
+        pairs, chars = _count(F.substring(marked, i, F.lit(w - 1)), F.lit("1")), F.split(F.substring(low, i, F.lit(w)), "(?!^)")
+        return (pairs >= RARE_LEAST) & (F.size(F.array_distinct(chars)) >= CHARS_LEAST)
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(s) - w + 1, F.lit(1))), rare)
+    return F.struct((F.array_min(starts) - 1).cast("long").alias("first"), (F.array_max(starts) - 1 + w).cast("long").alias("last"))
+
+
 def _entropy(match: Column, start: Column, end: Column) -> Column:
     least = F.lit(CLASSES[-1][1])
     for pattern, bits in reversed(CLASSES[:-1]):
         least = F.when(match.rlike(pattern), F.lit(bits)).otherwise(least)
     digit_or_letters = match.rlike("[0-9]") | match.rlike("^[A-Za-z]+$")
-    hot = F.when(~match.rlike(ALLOW) & digit_or_letters, hot_range(match, least))
-    return _span(hot["first"].isNotNull(), start + hot["first"], 3, start + hot["last"])
+    hot = F.when(~match.rlike(ALLOW) & ~match.rlike(JOINED) & digit_or_letters, hot_range(match, least))
+    rare = F.when(~match.rlike(ALLOW) & ~match.rlike("[0-9]"), rare_range(match))
+    first, last = F.least(hot["first"], rare["first"]), F.greatest(hot["last"], rare["last"])
+    return _span(first.isNotNull(), start + first, 3, start + last)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with base and spans: arrays of (start, ord, end), ord a place in KINDS, in code points.
 
     base: matches of the three patterns, each kind leftmost and without overlap. spans: base, and the windows of
-    high entropy in long runs that no base span covers and the allow-list doesn't know; base spans are never
-    dropped. Map-only, no Python. Null and empty texts have empty arrays and stay as they are; repeated rows give a
+    high entropy, or without digits of many rare pairs of letters, in long runs that no base span covers and the
+    allow-list doesn't know; base spans are never dropped. Map-only, no Python. Null and empty texts have empty arrays and stay as they are; repeated rows give a
     row each; all columns stay, those named base or spans are replaced; an empty table gives no rows.
     """
     text = F.coalesce(F.col("_t"), F.lit(""))

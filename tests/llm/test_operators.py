@@ -245,6 +245,18 @@ def test_entropy_windows(spark):
             assert (None if r.h.first is None else (r.h.first, r.h.last)) == want
 
 
+def test_random_letters_are_secrets_and_long_words_are_not(spark):
+    rng, low = np.random.default_rng(8), "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"{name}{n}", "".join(rng.choice(list(chars), n))) for name, chars in (("low", low), ("up", low.upper()), ("mixed", low + low.upper()), ("marks", low + low.upper() + "+/_-=")) for n in (20, 40) for _ in range(300)]
+    words = "internationalization counterrevolutionaries uncharacteristically getApplicationContextFactory AbstractAuthenticationProviderManager the-quick-brown-fox-jumps-over usr/share/applications/default MAXIMUM_NUMBER_OF_CONNECTIONS abcdefghijklmnopqrstuvwxyz-keys ======================== self_supervised_representation_learning".split()
+    df = spark.createDataFrame([*rows, *(("word", w) for w in words)], "doc_id string, text string")
+    found = collections.defaultdict(list)
+    for r in secrets.find_secrets(df).collect():
+        found[r.doc_id].append(len(r.spans) > 0)
+    assert not any(found.pop("word"))
+    assert all(np.mean(v) > (0.99 if k.endswith("40") else 0.9) for k, v in found.items()), {k: np.mean(v) for k, v in found.items()}
+
+
 def test_warc(spark, tmp_path):
     fake = "<p>" + warc.MAGIC + "WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + warc.MAGIC
     rows = [(3, "u3", "same"), (1, "u\r\n1", "same"), (2, None, "same"), (4, "u", None), (5, "u", ""), (6, "u", fake), (7, "u", fake * 50 + "é" * 900), (None, "n", "same"), (8, "u", fake), (9, "z", "\r\n\r\n" * 3), (10, "z", warc.MAGIC), (1, "again", "same")]
