@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +92,30 @@ def test_sum_of_squares_chooses_the_least_cost():
     assert sum(x[2] for x in p.take()) == total
 
 
+@pytest.mark.parametrize("sizes", [(1640,), (1500, 1700), tuple(range(2100, 4095, 7))])
+def test_open_windows_stay_few(sizes):
+    p, most = packing.SumOfSquares(4096), 0
+    for k in range(6000):
+        p.add(k, bytes(4 * sizes[k % len(sizes)]))
+        most = max(most, p.n_open)
+    assert most < 2048  # of 4096 levels
+    p.finish()
+    assert sum(x[2] for x in p.take()) == sum(sizes[k % len(sizes)] for k in range(6000))
+
+
+def test_encoder_keeps_what_it_meets_again(texts, monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "MOST", 300)
+    enc, tk = packing.Encoder(WORD), Tokenizer.from_file(WORD)
+    hard = ["Σς ΑΣ don't 12½ ªµ", "a\u00a0b\u2028c\x85d", "K Å ẞ İ", "<|endoftext|> x<|startoftext|>y", "é e\u0301 ü!!?", "\x1c\x1f q\u00ad-", "", "  "]
+    rows = [*texts.values(), *hard] * 2
+    for a in range(0, len(rows), 50):
+        got = enc.encode(pa.array(rows[a : a + 50]))
+        assert got == [np.array(e.ids, "<u4").tobytes() for e in tk.encode_batch_fast(rows[a : a + 50], add_special_tokens=False)]
+    text = max(texts.values(), key=len).encode()
+    assert b"".join(packing.pieces(text, 100)) == text
+    assert b"".join(enc.encode(pa.array([p.decode()]))[0] for p in packing.pieces(text, 100)) == enc.encode(pa.array([text.decode()]))[0]
+
+
 def test_token_counts(docs, texts, odd):
     tk = Tokenizer.from_file(BYTE)
     for df, rows in ((docs, list(texts.items())), (odd, ODD)):
