@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from urllib.parse import unquote_plus
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,27 +27,57 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+#: Bits of the map of repeated digests: 8 MB, whatever the number of pages.
+BITS = 26
+
+
+def repeated(digests: DataFrame):
+    """A column function: may this digest be one of these? Never a wrong no; some wrong yes as the map fills."""
+    place = F.shiftrightunsigned(F.xxhash64("digest"), 64 - BITS)
+    words = digests.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2**20 rows
+    bits = np.zeros(1 << BITS - 6, np.uint64)
+    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+    sent = digests.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64).view(np.uint64)
+        return pd.Series((sent.value[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return lambda digest: held(F.shiftrightunsigned(F.xxhash64(digest), 64 - BITS))
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", most_records: int = 20000) -> None:
     """One record for each row, in text files under path, each a valid archive of at most most_records records.
 
     Of records with equal payloads (by SHA-1 and length) of at least least_bytes, that with the least id is a response,
     the others revisits without the payload that name it. Null payloads are empty. Rows whose id is null are
-    responses, and repeated rows of a group's least id are responses too. Line ends in URLs are dropped. The only
-    shuffles are a count by digest and the join with digests that occur more than once, whose skew Spark may split.
+    responses, and repeated rows of a group's least id are responses too. Ids may be of any type that orders; they are
+    written percent-encoded. Line ends in URLs are dropped. Payloads that occur once are written by the task that
+    reads them: only digests are shuffled to find the repeated ones, whose map of a fixed size is broadcast, and
+    only rows that it may hold go through the join, whose skew Spark may split.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("payload"))
     rows = rows.select("*", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("n"))
     heads = rows.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.min("id").alias("head"), F.count("*").alias("times")).where("times > 1 AND head IS NOT NULL").drop("times")
-    rows = rows.join(heads, ["digest", "n"], "left")
+    heads = settle(heads, "heads")
+    maybe = rows.withColumn("maybe", repeated(heads)("digest"))
+    once = maybe.where("NOT maybe").withColumn("head", F.lit(None).cast(pages.schema[id_col].dataType)).drop("maybe")
+    rows = once.unionByName(maybe.where("maybe").drop("maybe").join(heads.hint("merge"), ["digest", "n"], "left"))
     revisit = F.coalesce(F.col("id") != F.col("head"), F.lit(False))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+
+    def urn(key):
+        return F.concat(F.lit("<urn:page:"), F.url_encode(F.col(key).cast("string")), F.lit(">"))
+
     lines = F.concat(
         F.lit(f"{MAGIC}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")),
-        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), "url",
+        F.lit("\r\nWARC-Record-ID: "), F.coalesce(urn("id"), F.lit("<urn:none>")),
+        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), "url",
         F.lit("\r\nWARC-Payload-Digest: sha1:"), "digest", F.lit("\r\nWARC-Payload-Length: "), F.col("n").cast("string"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("head").cast("string"), F.lit(">"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), urn("head"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body,
     )
     rows.select(lines.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most_records).text(path)
@@ -60,25 +92,39 @@ def _header(segment: bytes) -> tuple[int, dict[bytes, bytes]] | None:
     return (end + 4, fields) if fields.get(b"Content-Length", b"").isdigit() else None
 
 
-def _page(field: bytes | None) -> int | None:
-    value = (field or b"").removeprefix(b"<urn:page:").removesuffix(b">")
-    return int(value) if value.removeprefix(b"-").isdigit() else None
+def _page(field: bytes | None) -> str | None:
+    value = (field or b"").removesuffix(b">")
+    return unquote_plus(value.removeprefix(b"<urn:page:").decode(errors="replace")) if value.startswith(b"<urn:page:") else None
 
 
-SCAN = "path string, block long, total long, at long, length long, next long, exit long, complete boolean, type string, id long, refers long, digest string, bytes long"
+SCAN = "path string, block long, total long, at long, length long, next long, exit long, tin long, tout long, complete boolean, type string, id string, refers string, digest string, bytes long"
 
 
 def _scan(batches):
     """A row for each stretch between magics: where it is in its block, its successor, and the first place its chain
-    reaches outside the block. Only slim rows leave; payloads are digested here."""
+    reaches outside the block. Only slim rows leave; payloads are digested here.
+
+    tin and tout number the block's trees (a stretch's parent is its successor there), so that a stretch is on the
+    chain of another one if and only if its tin..tout holds the other's tin.
+    """
 
     def rows(path, block, segments, total):
         at_index = {s["at"]: s for s in segments}
+        for s in segments:  # successors come later, so that a stretch has its size before it adds to its parent's
+            s["size"] = s.get("size", 0) + 1
+            if (up := at_index.get(s["next"])) is not None:
+                up["size"] = up.get("size", 0) + s["size"]
+        free = 0
         for s in reversed(segments):
-            n = s["next"]
+            n, up = s["next"], at_index.get(s["next"])
             inside = n is not None and n < total - M
-            s["exit"] = n if not inside else at_index[n]["exit"] if n in at_index else None
+            s["exit"] = n if not inside else up["exit"] if up else None
             s["total"] = total
+            if up is None:
+                s["tin"], free = free, free + s["size"]
+            else:
+                s["tin"], up["free"] = up["free"], up["free"] + s["size"]
+            s["free"], s["tout"] = s["tin"] + 1, s["tin"] + s["size"]
         return pa.RecordBatch.from_pylist(segments, schema=schema)
 
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -117,49 +163,46 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def _side(small: DataFrame, most: int = 100_000) -> DataFrame:
+    """The side of a join that grows with the number of blocks: broadcast up to `most` rows, else merged."""
+    return F.broadcast(small) if small.count() <= most else small.hint("merge")
+
+
+def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives under path.
 
     Tasks read blocks of files and give, for every place where the magic stands, the place of its successor
     (header, Content-Length and end mark added up). What blocks hold before is summed to turn places in a block into
     places in the file. From each file's start, pointers are followed by jumping: chains are shortened to their
-    exit within a block, then doubled between blocks, so that a file of b blocks takes log2(b) rounds. Only records so
-    reached are kept; a magic inside a payload is not. Payloads that hold one are put together in a second reading.
+    exit within a block, then doubled between blocks, so that a file of b blocks takes log2(b) rounds; only places at
+    which some chain enters a block take part, so that the rounds' tables grow with the blocks, not the records. Only
+    records so reached are kept; a magic inside a payload is not. Payloads that hold one are put together in a
+    second reading. Ids come back as text cast to id_type; archives without a record give no rows.
     """
     seg = settle(_segments(spark, path).mapInArrow(_scan, SCAN), "segments")
     blocks = seg.groupBy("path", "block").agg(F.max("total").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = settle(blocks.select("path", "block", before.alias("base")), "bases")
-    placed = seg.join(F.broadcast(base) if base.count() < 100_000 else base, ["path", "block"])
-    placed = settle(placed.select("path", "block", *[(F.col(c) + F.col("base")).alias(c) for c in ("at", "next", "exit")], "at", "length", "complete", "type", "id", "refers", "digest", "bytes").toDF("path", "block", "at", "next", "exit", "local", "length", "complete", "type", "id", "refers", "digest", "bytes"), "placed")
-    jump = placed.where("next IS NOT NULL").select("path", "at", F.col("exit").alias("to"))
-    nodes = jump.select("path", "at")
-    reached, n = settle(nodes.where("at = 0"), "reached"), 0
+    moved = {c: F.col(c) + F.col("base") for c in ("at", "next", "exit")}
+    placed = seg.withColumn("local", F.col("at")).join(_side(base), ["path", "block"]).withColumns(moved).drop("base", "total")
+    starts = placed.where("exit IS NOT NULL").select("path", F.col("exit").alias("at")).distinct()
+    starts = settle(starts, "starts")
+    first = placed.where("next IS NOT NULL").select("path", "at", F.col("exit").alias("to"), "block", "tin")
+    jump = settle(first.where("at = 0").unionByName(first.where("at <> 0").join(_side(starts), ["path", "at"], "left_semi")), "jumps")
+    reached, n = settle(jump.where("at = 0").select("path", "at"), "reached"), 0
+    step = jump.select("path", "at", "to").join(_side(jump.select("path", F.col("at").alias("to"))), ["path", "to"], "left_semi")
     while (now := reached.count()) > n:
         n = now
-        jump = settle(jump.join(nodes.select("path", F.col("at").alias("to")), ["path", "to"]).select("path", "at", "to"), "jumps") if n == 0 else jump
-        step = reached.join(jump, ["path", "at"]).select("path", F.col("to").alias("at")).join(nodes, ["path", "at"])
-        reached = settle(reached.unionByName(step).distinct(), "reached")
-        further = jump.select("path", F.col("at").alias("to"), F.col("to").alias("further"))
-        jump = settle(jump.join(further, ["path", "to"]).select("path", "at", F.col("further").alias("to")), "jumps")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The records of one block that its entries' chains pass through."""
-        pdf = pdf.sort_values("at")
-        wanted, keep = set(pdf.loc[pdf["entry"], "at"]), []
-        for at, following in zip(pdf["at"].tolist(), pdf["next"].tolist(), strict=True):
-            keep.append(at in wanted and following == following)
-            if keep[-1]:
-                wanted.add(int(following))
-        return pdf.loc[keep, ["path", "block", "at"]]
-
-    entries = reached.withColumn("entry", F.lit(True))
-    marked = placed.select("path", "block", "at", "next").join(entries, ["path", "at"], "left").select("path", "block", "at", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
-    real = marked.groupBy("path", "block").applyInPandas(walk, "path string, block long, at long")
-    records = settle(placed.join(real, ["path", "block", "at"]), "records")
+        more = reached.join(_side(step), ["path", "at"]).select("path", F.col("to").alias("at"))
+        reached = settle(reached.unionByName(more).distinct(), "reached")
+        further = step.select("path", F.col("at").alias("to"), F.col("to").alias("further"))
+        step = settle(step.join(_side(further), ["path", "to"]).select("path", "at", F.col("further").alias("to")), "jumps")
+    entries = settle(jump.join(_side(reached), ["path", "at"], "left_semi").select("path", "block", F.col("tin").alias("entry")), "entries")
+    real = placed.join(_side(entries), ["path", "block"]).where("next IS NOT NULL AND tin <= entry AND entry < tout")
+    records = real.select("path", "block", "at", "local", "complete", "type", "id", "refers", "digest", "bytes")
     whole = records.where("complete")
     if records.where("NOT complete").isEmpty():
-        return _result(whole)
+        return _result(whole, id_type)
     # stretches that belong to a record whose payload holds the magic
     owner = F.last("rec", ignorenulls=True).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     tied = placed.select("path", "block", "at", "local").join(records.select("path", "at", F.struct("at", "complete", "bytes").alias("rec")), ["path", "at"], "left")
@@ -187,8 +230,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     parts = _segments(spark, path).mapInArrow(stretches, "path string, block long, local long, value binary").join(tied, ["path", "block", "local"])
     found = parts.groupBy("path", "record").applyInPandas(together, "path string, at long, digest string, bytes long")
     more = records.where("NOT complete").drop("digest", "bytes").join(found, ["path", "at"])
-    return _result(whole.unionByName(more))
+    return _result(whole.unionByName(more), id_type)
 
 
-def _result(records: DataFrame) -> DataFrame:
-    return records.select("id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
+def _result(records: DataFrame, id_type: str) -> DataFrame:
+    return records.select(F.col("id").cast(id_type).alias("id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").cast(id_type).alias("refers_to"))
