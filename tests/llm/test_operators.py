@@ -270,6 +270,21 @@ def test_entropy_windows(spark):
             assert (None if r.h.first is None else (r.h.first, r.h.last)) == want
 
 
+def test_entropy_of_long_runs(spark):
+    rng = np.random.default_rng(5)
+    chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    dull, key = "ab" * 700, "".join(rng.choice(chars, 24))
+    words = [dull, dull + key + dull, key + dull, dull + key, dull + key + dull + key + dull, *(dull[:n] + key for n in range(210, 262, 3)), "".join(rng.choice(chars, 3000))]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for r in df.select("w", secrets.hot_range(F.col("w"), F.lit(3.5)).alias("h")).collect():
+        assert (None if r.h.first is None else (r.h.first, r.h.last)) == hot(r.w, 3.5)
+    blob = "".join(rng.choice(chars, 1_000_000))  # as an inlined image; it holds words of the allow-list by chance
+    rows = [(0, f"img {blob} end"), (1, "example-" + "".join(rng.choice(chars, 40)) + "/" + blob[:500])]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("clean", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
+    assert len(got[0].clean) < 60
+    assert got[1].spans[0].start >= 30 and got[1].spans[0].end > 500
+
+
 def test_random_letters_are_secrets_and_long_words_are_not(spark):
     rng, low = np.random.default_rng(8), "abcdefghijklmnopqrstuvwxyz"
     rows = [(f"{name}{n}", "".join(rng.choice(list(chars), n))) for name, chars in (("low", low), ("up", low.upper()), ("mixed", low + low.upper()), ("marks", low + low.upper() + "+/_-=")) for n in (20, 40) for _ in range(300)]
