@@ -30,53 +30,91 @@ CHUNK, SWEEPS, BURN_IN = 12 << 20, 3, 1
 END = b" "
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """Log gamma of positive numbers: Stirling's series after eight steps up."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - shift
+#: Customers up to which Stirling numbers come from their recurrence; beyond, from an integral.
+RECURRENCE = 1024
+
+
+def ratios(c: int, t: np.ndarray, d: float) -> np.ndarray:
+    """Logs of S(c, t + 1) / S(c, t) of generalised Stirling numbers, for large c.
+
+    S(c, t) is c! / (t! d**t) times the c-th coefficient of (1 - (1 - z)**d)**t. Cauchy's integral over z = exp(-s / c)
+    is taken along a parabola around the cut, through the saddle of each t, where its terms don't cancel.
+    """
+    t = np.append(t, t[-1] + 1).astype(np.float64)
+    low, high = np.full(len(t), -7.0), np.full(len(t), np.log(40.0 * c))
+    for _ in range(50):  # the saddle: 1 = t d (1 - q)**(d - 1) q / (c (1 - (1 - q)**d)), q = exp(-s / c)
+        mid = (low + high) / 2
+        q = np.exp(-np.exp(mid) / c)
+        falls = t * d * (1 - q) ** (d - 1) * q < c * (1 - (1 - q) ** d)
+        low, high = np.where(falls, low, mid), np.where(falls, mid, high)
+    s0 = np.maximum(np.exp(high), 4.0)[:, None]
+    y = np.linspace(0, 1, 129)[None, :] * np.sqrt(45 / s0)
+    z = s0 * (1 + 1j * y) ** 2
+    f = z + t[:, None] * np.log(1 - (-np.expm1(-z / c)) ** d)
+    peak = f.real.max(1, keepdims=True)
+    terms = (np.exp(f - peak) * (1 + 1j * y)).real
+    log = np.log((terms.sum(1) - terms[:, 0] / 2) * s0[:, 0] * y[:, 1]) + peak[:, 0]
+    return np.diff(log) - np.log(t[1:] * d)
+
+
+def stirling_ratios(cs: list[int], d: float):
+    """For each of these ascending c a function of an array of consecutive t < c: logs of S(c, t + 1) / S(c, t)."""
+    row = np.zeros(1)  # log S(n, t), t = 1..n
+    n = 1
+    for c in cs:
+        while n < min(c, RECURRENCE):
+            t = np.arange(1, n + 1)
+            row = np.logaddexp(np.append(np.log(n - t * d) + row, -np.inf), np.append(-np.inf, row))
+            n += 1
+        if c <= RECURRENCE:
+            steps = np.diff(row)
+            yield c, lambda t, steps=steps: steps[t - 1]
+        else:
+            yield c, lambda t, c=c: ratios(c, t, d)
+
+
+def draw(c: int, ratio, p: np.ndarray, strength: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Table counts at the quantiles u of their conditional: weight S(c, t) * product of p * (strength + d * k), k < t.
+
+    Counts are gone through in blocks, until what is left weighs nothing in double precision.
+    """
+    log, at, width = [np.zeros((len(p), 1))], 1, 16
+    while at < c:
+        t = np.arange(at, min(c, at + width))
+        step = np.log(p[:, None] * (strength[:, None] + d * t)) + ratio(t)
+        log.append(np.cumsum(step, 1) + log[-1][:, -1:])
+        at, width = int(t[-1]) + 1, min(256, 2 * width)
+        most = np.max([x.max(1) for x in log], 0)
+        if ((step[:, -1] < -0.7) & (log[-1][:, -1] < most - 40)).all():
+            break
+    log = np.concatenate(log, 1)
+    weights = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
+    return 1 + (weights[:, :-1] < u[:, None] * weights[:, -1:]).sum(1)
 
 
 def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, p: np.ndarray, theta: float, d: float, rng) -> np.ndarray:
     """New table counts for c customers of one dish each, given the parent's probability p and the old counts t.
 
-    total: tables of the whole restaurant, this dish's included. A count is proposed by seating the customers one by one
-    at a restaurant of strength a = (theta + d * (total - t)) * p, and accepted by Metropolis and Hastings against
-    the conditional of t, whose Stirling factors are the same and cancel. From 64 customers on they come in groups
-    of a 32nd of those seated.
+    total: tables of the whole restaurant, this dish's included. All customers of the dish leave and are seated
+    anew: the count is drawn from its exact conditional given all other tables, whatever the number of customers.
     """
     out = t.copy()
     many = np.flatnonzero(c > 1)
-    if not len(many):
-        return out
-    many = many[np.argsort(-c[many], kind="stable")]
-    cc, old = c[many].astype(np.float64), t[many].astype(np.float64)
-    strength = theta + d * np.maximum(total[many] - old, 0)
-    a = strength * p[many]
-    new, n, active = np.ones(len(many)), 1, len(many)
-    while True:
-        active = int(np.searchsorted(-cc, -n, side="left"))  # those with more than n customers
-        if not active:
-            break
-        chance = a[:active] + d * new[:active]
-        if n < 64:
-            new[:active] += rng.random(active) * (a[:active] + n) < chance
-            n += 1
-        else:
-            m = n // 32
-            take = np.minimum(m, cc[:active] - n)
-            new[:active] += rng.binomial(take.astype(np.int64), np.minimum(1.0, chance / (a[:active] + n + take / 2)))
-            n += m
-    new = np.minimum(new, cc)
+    many = many[np.argsort(c[many], kind="stable")]
+    strength = theta + d * np.maximum(total[many] - t[many], 0).astype(np.float64)
+    u, p, cc = rng.random(len(many)), p[many], c[many]
+    values, starts = np.unique(cc, return_index=True)
+    ends = np.append(starts[1:], len(cc))
+    for (value, ratio), a, b in zip(stirling_ratios(values.tolist(), d), starts.tolist(), ends.tolist(), strict=True):
+        for i in range(a, b, 20_000):
+            part = slice(i, min(b, i + 20_000))
+            out[many[part]] = draw(value, ratio, p[part], strength[part], d, u[part])
+    return out
 
-    def weight(k):
-        return k * np.log(p[many]) + lgamma(strength / d + k) - lgamma(strength / d) - lgamma(a / d + k) + lgamma(a / d)
 
-    accept = np.log(rng.random(len(many))) < weight(new) - weight(old)
-    out[many[accept]] = new[accept].astype(out.dtype)
-    return out
+def predicted(c, t, tables, customers, parent, theta: float, d: float):
+    """Probability of a dish with c customers at t tables, in a restaurant of so many tables and customers."""
+    return (c - d * t + (theta + d * tables) * parent) / (theta + customers)
 
 
 def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool]) -> dict:
@@ -174,15 +212,6 @@ def opening(row) -> list[dict]:
     return [{"bucket": row["bucket"], "want": want, "keys": keys[at].tobytes(), "x": seen[at].tobytes()} for want, at in ((True, moves), (False, ~moves & (seen > 0)))]
 
 
-def closing(row) -> list[dict]:
-    """A merged bucket's customers and tables at the start by context; it asks for the totals of all its contexts."""
-    _, cls, c = _columns(row)
-    n = len(row["keys"]) // 8
-    x = np.zeros((2 + SWEEPS - BURN_IN, n), np.uint32)
-    x[0], x[1] = np.bincount(cls, c, n), np.bincount(cls, c > 0, n)
-    return [{"bucket": row["bucket"], "want": True, "keys": row["keys"], "x": x.tobytes()}]
-
-
 def added(row) -> np.ndarray:
     """Tables of a core row's contexts beyond one for each pair."""
     cls, t = np.frombuffer(row["cls"], np.uint32), np.frombuffer(row["t"], np.uint32).astype(np.int64)
@@ -199,33 +228,36 @@ def _each(make):
 
 
 def totals(messages: DataFrame, n_shards: int) -> DataFrame:
-    """Sums by key over all messages, sent back in order to the buckets that want them: bucket, shard, x.
+    """Sums by key over all messages, sent back in order to the buckets that want them: bucket, shard, keys, x.
 
     x: numbers of four bytes, one row after another, each as long as keys. Keys are sorted, so shards are in order too.
+    Each shard also keeps its sums: a row with its keys for bucket -1; the keys of answers are left out.
     """
 
     def split(frames):
         for pdf in frames:
             for _, row in pdf.iterrows():
-                keys = np.frombuffer(row["keys"], np.uint64)
+                keys, out = np.frombuffer(row["keys"], np.uint64), []
                 if len(keys):
                     x, shard = np.frombuffer(row["x"], np.uint32).reshape(-1, len(keys)), shard_of(keys, n_shards)
                     starts = np.searchsorted(shard, np.arange(n_shards + 1))
                     for s in np.unique(shard).tolist():
                         at = slice(starts[s], starts[s + 1])
-                        yield pd.DataFrame({"shard": [s], "bucket": [row["bucket"]], "want": [row["want"]], "keys": [keys[at].tobytes()], "x": [x[:, at].tobytes()]})
+                        out.append((s, row["bucket"], row["want"], keys[at].tobytes(), x[:, at].tobytes()))
+                yield pd.DataFrame(out, columns=["shard", "bucket", "want", "keys", "x"])
 
     def add(pdf):
         keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        x = np.concatenate([np.frombuffer(v, np.uint32).reshape(-1, len(k)) for k, v in zip(keys, pdf["x"], strict=True)], axis=1)
-        sums = np.stack([np.bincount(at, v, len(found)) for v in x]).astype(np.uint32)
         places = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        back = [(b, sums[:, p].tobytes()) for b, want, p in zip(pdf["bucket"], pdf["want"], places, strict=True) if want]
-        return pd.DataFrame({"bucket": [b for b, _ in back], "shard": [int(pdf["shard"].iloc[0])] * len(back), "x": [x for _, x in back]})
+        sums = np.zeros((max(len(v) // (4 * len(k)) for v, k in zip(pdf["x"], keys, strict=True)), len(found)), np.uint32)
+        for p, v in zip(places, pdf["x"], strict=True):  # a message's own keys are distinct
+            sums[:, p] += np.frombuffer(v, np.uint32).reshape(-1, len(p))
+        back = [(-1, found.tobytes(), sums.tobytes())] + [(b, b"", sums[:, p].tobytes()) for b, want, p in zip(pdf["bucket"], pdf["want"], places, strict=True) if want]
+        return pd.DataFrame(back, columns=["bucket", "keys", "x"]).assign(shard=int(pdf["shard"].iloc[0]))
 
     rows = messages.mapInPandas(split, "shard long, bucket long, want boolean, keys binary, x binary")
-    return rows.groupBy("shard").applyInPandas(add, "bucket long, shard long, x binary")
+    return rows.groupBy("shard").applyInPandas(add, "bucket long, shard long, keys binary, x binary")
 
 
 def _answer(back: pd.DataFrame, width: int) -> np.ndarray:
@@ -271,8 +303,7 @@ class Bucket:
 
     def predict(self, state: dict) -> np.ndarray:
         s = self.setting
-        p = self.root_p(state)[self.word]
-        return (self.c - s["d2"] * self.t + (s["theta2"] + s["d2"] * state["tables"][self.cls]) * p) / (s["theta2"] + s["by_class"][self.cls])
+        return predicted(self.c, self.t, state["tables"][self.cls], s["by_class"][self.cls], self.root_p(state)[self.word], s["theta2"], s["d2"])
 
 
 def sweep_with(setting: dict, k: int, state: dict):
@@ -305,14 +336,13 @@ def _sums(rows: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def fitted(kept: DataFrame, n_buckets: int, theta: tuple[float, float]) -> tuple[DataFrame, int, int]:
-    """For each chunk and bucket the log probabilities of the chunk's pairs and its words' counts; all tokens and words learnt."""
+def fitted(kept: DataFrame, n_buckets: int, theta: tuple[float, float]) -> tuple[DataFrame, int, int, dict]:
+    """What each chunk needs to score its texts, from buckets and shards; all tokens and words learnt; the setting."""
 
     def send(frames):
         for pdf in frames:
             for _, row in pdf.iterrows():
-                for x in sent(row, n_buckets):
-                    yield pd.DataFrame([x])
+                yield pd.DataFrame(sent(row, n_buckets))
 
     pairs = kept.drop("ids").mapInPandas(send, "chunk long, bucket long, a binary, b binary, c binary, d binary")
     merged = settle(pairs.groupBy("bucket").applyInPandas(merge, MERGED), "merged")
@@ -321,55 +351,70 @@ def fitted(kept: DataFrame, n_buckets: int, theta: tuple[float, float]) -> tuple
     setting = {"v": v, "d1": d, "d2": d, "theta1": theta[0], "theta2": theta[1]}
     lean = merged.select("bucket", "word", "cls", "c", "keys")
     core = settle(lean.mapInPandas(_each(core_row), CORE), "core")
-    ask, cores, states = lean.mapInPandas(_each(opening), MESSAGE), [], []
+    start = settle(totals(lean.mapInPandas(_each(opening), MESSAGE), n_buckets), "totals")
+    ask, cores, states = start.where("bucket >= 0"), [], []
     for k in range(SWEEPS + 1):
         found = core.agg(F.sum("customers"), F.sum("root_tables")).first()
         states.append({"customers": float(found[0] or 0), "root_tables": float(found[1] or 0)})
         cores.append(core)
         if k == SWEEPS:
             break
-        core = settle(core.groupBy("bucket").cogroup(totals(ask, n_buckets).groupBy("bucket")).applyInPandas(sweep_with(setting, k, states[k]), CORE), "core")
-        ask = core.select("bucket", "cls", "keys", "t").mapInPandas(_each(lambda r: [{"bucket": r["bucket"], "want": True, "keys": r["keys"], "x": added(r).tobytes()}]), MESSAGE)
+        core = settle(core.groupBy("bucket").cogroup(ask.groupBy("bucket")).applyInPandas(sweep_with(setting, k, states[k]), CORE), "core")
+        moved = core.select("bucket", "cls", "keys", "t").mapInPandas(_each(lambda r: [{"bucket": r["bucket"], "want": True, "keys": r["keys"], "x": added(r).tobytes()}]), MESSAGE)
+        ask = totals(moved, n_buckets).where("bucket >= 0")
 
+    # every chunk learns of its words, as contexts, the tables at the start and what each used sweep has added
     used = range(BURN_IN + 1, SWEEPS + 1)
-    width, ask, given = 2 + len(used), lean.mapInPandas(_each(closing), MESSAGE), None
-    for j, k in enumerate(used):
 
-        def late(row, j=j):
-            x = np.zeros((width, len(row["keys"]) // 8), np.uint32)
-            x[2 + j] = added(row)
-            return [{"bucket": row["bucket"], "want": False, "keys": row["keys"], "x": x.tobytes()}]
+    def message(j: int | None, want: bool):
+        def make(row):
+            x = np.zeros((1 + len(used), len(row["keys"]) // 8), np.uint32)
+            if j == 0:
+                x[0] = np.frombuffer(row["x"], np.uint32)
+            elif j:
+                x[j] = added(row)
+            return [{"bucket": row["bucket"], "want": want, "keys": row["keys"], "x": x.tobytes()}]
 
-        ask = ask.unionByName(cores[k].select("bucket", "cls", "keys", "t").mapInPandas(_each(late), MESSAGE))
-        seats = cores[k].select("bucket", F.lit(-k).cast("long").alias("shard"), F.col("t").alias("x"), F.col("root").alias("y"))
+        return make
+
+    ask = start.where("bucket = -1").mapInPandas(_each(message(0, False)), MESSAGE)
+    ask = ask.unionByName(kept.select(F.col("chunk").alias("bucket"), F.col("hashes").alias("keys")).mapInPandas(_each(lambda r: message(None, True)({"bucket": r["bucket"], "keys": np.sort(np.frombuffer(r["keys"], np.uint64)).tobytes()})), MESSAGE))
+    given = None
+    for j, k in enumerate(used):
+        ask = ask.unionByName(cores[k].select("bucket", "cls", "keys", "t").mapInPandas(_each(message(j + 1, False)), MESSAGE))
+        seats = cores[k].select("bucket", F.lit(k).alias("k"), "t", "root")
         given = seats if given is None else given.unionByName(seats)
-    given = settle(given.unionByName(totals(ask, n_buckets).withColumn("y", F.lit(None).cast("binary"))), "given")
-
-    def predict(one, back):
-        row, p = one.iloc[0].to_dict(), 0.0
-        x = _answer(back[back["shard"] >= 0], width)
-        b = Bucket(row, setting | {"by_class": x[0]})
-        for j, k in enumerate(used):
-            seats = back[back["shard"] == -k].iloc[0]
+
+    def answer(one, back):
+        """For each chunk: its pairs' customers and tables, and its words' customers and probabilities in the root."""
+        row = one.iloc[0].to_dict()
+        b = Bucket(row, setting)
+        many, seated, parents = b.c > 1, [], []
+        for k in used:
+            seats = back[back["k"] == k].iloc[0]
             b.t = (b.c > 0).astype(np.int64)
-            b.t[b.c > 1] = np.frombuffer(seats["x"], np.uint32)
-            b.root_t = np.frombuffer(seats["y"], np.uint32).astype(np.int64)
+            b.t[many] = np.frombuffer(seats["t"], np.uint32)
+            b.root_t = np.frombuffer(seats["root"], np.uint32).astype(np.int64)
             b.count()
-            p = p + b.predict(states[k] | {"tables": x[1] + x[2 + j]}) / len(used)
-        log = np.log10(p).astype(np.float32)
+            seated.append(b.t)
+            parents.append(b.root_p(states[k]))
         of_word = np.bincount(b.word, b.c, b.n_words).astype(np.uint32)
-        out = {"chunk": [], "bucket": [], "log": [], "counts": [], "sizes": []}
+        out = []
         for chunk, at, sizes in zip(row["chunks"], row["maps"], row["sizes"], strict=True):
             at, of = np.cumsum(np.frombuffer(at, np.uint32)), np.frombuffer(sizes, np.uint32).astype(np.int64)
-            for name, value in zip(out, (chunk, b.number, log[at].tobytes(), of_word[b.word[at[np.cumsum(of) - of]]].tobytes(), sizes), strict=True):
-                out[name].append(value)
-        return pd.DataFrame(out)
+            words = b.word[at[np.cumsum(of) - of]]
+            low, repeated = np.minimum(b.c[at], 255).astype(np.uint8), at[many[at]]
+            tables = np.stack([t[repeated] for t in seated]).astype(np.uint32)
+            out.append((chunk, b.number, low.tobytes(), b.c[at[low == 255]].astype(np.uint32).tobytes(), tables.tobytes(), of_word[words].tobytes(), np.stack([p[words] for p in parents]).tobytes(), sizes))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "low", "high", "tables", "counts", "parents", "sizes"])
 
     pieces = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c").groupBy("bucket").cogroup(given.groupBy("bucket"))
-    back = settle(pieces.applyInPandas(predict, "chunk long, bucket long, log binary, counts binary, sizes binary"), "back")
-    for table in (merged, given, *cores):
+    back = settle(pieces.applyInPandas(answer, "chunk long, bucket long, low binary, high binary, tables binary, counts binary, parents binary, sizes binary"), "back")
+    contexts = settle(totals(ask, n_buckets).where("bucket >= 0").select(F.col("bucket").alias("chunk"), "shard", "x"), "contexts")
+    for table in (merged, start, *cores):
         drop(table)
-    return back, n, v
+    empty = [F.lit(None).cast("binary").alias(x) for x in ("low", "high", "tables", "counts", "parents", "sizes")]
+    return back.withColumn("x", F.lit(None).cast("binary")).unionByName(contexts.select("chunk", F.col("shard").alias("bucket"), *empty, "x")), n, v, setting
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", theta: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -404,14 +449,27 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     kept = settle(docs.mapInArrow(chunks, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, flat binary, rank binary, hashes binary, end long"), "chunks")
     with heavy_rows(docs.sparkSession):
-        back, n, v = fitted(kept, n_buckets, theta)
+        back, n, v, setting = fitted(kept, n_buckets, theta)
+
+    used = SWEEPS - BURN_IN
 
     def scored(chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        row, back = chunk.iloc[0], back.sort_values("bucket")
-        _, _, tokens, sizes = pairs_of(row)
-        log = np.frombuffer(b"".join(back["log"]), np.float32).astype(np.float64)
-        count = np.frombuffer(b"".join(back["counts"]), np.uint32).astype(np.int64)
-        of_pair = np.repeat(count, np.frombuffer(b"".join(back["sizes"]), np.uint32).astype(np.int64))
+        row, asked = chunk.iloc[0], back["x"].notna()
+        tables = _answer(back[asked].rename(columns={"bucket": "shard"}), 1 + used)
+        back = back[~asked].sort_values("bucket")
+        word, before, tokens, sizes = pairs_of(row)
+        count = np.frombuffer(b"".join(back["counts"]), np.uint32).astype(np.int64)  # of words, as ranked
+        low = np.frombuffer(b"".join(back["low"]), np.uint8)
+        c = low.astype(np.int64)
+        c[low == 255] = np.frombuffer(b"".join(back["high"]), np.uint32)
+        seated = np.concatenate([np.frombuffer(x, np.uint32).reshape(used, -1) for x in back["tables"]], 1)
+        parents = np.concatenate([np.frombuffer(x, np.float64).reshape(used, -1) for x in back["parents"]], 1)
+        p = 0.0
+        for k in range(used):
+            t = (c > 0).astype(np.int64)
+            t[c > 1] = seated[k]
+            p = p + predicted(c, t, (tables[0] + tables[1 + k])[before], count[before], parents[k][word], setting["theta2"], setting["d2"]) / used
+        log, of_pair = np.log10(p), count[word]
         starts = np.cumsum(sizes) - sizes
         base = np.log10((of_pair + 0.5) / (n + 0.5 * (v + 1)))
 
