@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import begin, drop, heavy_rows, numbered, raw, settle, word_hashes
+from aligna.llm.common import begin, drop, heavy_rows, mix, numbered, raw, settle, word_hashes
 
 CHUNK, SWEEPS, BURN_IN = 12 << 20, 3, 1
+#: A word with more than 1 / (PARTS * buckets) of all tokens, or LEAST_SHARE, is split by context over several buckets.
+PARTS, LEAST_SHARE = 8, 1e-6
 #: The end of a text, and what stands before its first word; no word is a space.
 END = b" "
 
@@ -100,6 +102,8 @@ def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, p: np.ndarray, theta:
     """
     out = t.copy()
     many = np.flatnonzero(c > 1)
+    if not len(many):
+        return out
     many = many[np.argsort(c[many], kind="stable")]
     strength = theta + d * np.maximum(total[many] - t[many], 0).astype(np.float64)
     u, p, cc = rng.random(len(many)), p[many], c[many]
@@ -117,8 +121,9 @@ def predicted(c, t, tables, customers, parent, theta: float, d: float):
     return (c - d * t + (theta + d * tables) * parent) / (theta + customers)
 
 
-def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool]) -> dict:
-    """A chunk as kept: sizes of its texts, word numbers, the words' hashes and their ranks by hash, the end's number."""
+def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool], share: float) -> dict:
+    """A chunk as kept: sizes of its texts, word numbers, the words' hashes and their ranks by hash, the end's number,
+    and the words that have half of that share of its tokens, with their numbers."""
     lists = [t.lower().split() for t in texts]
     for words in lists:
         words.append(END)
@@ -126,7 +131,12 @@ def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool]) -> dict:
     hashes = word_hashes(words)
     rank = np.empty(len(words), np.uint32)
     rank[np.argsort(hashes, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-    return {"chunk": chunk, "ids": ids, "held": held, "sizes": np.diff(bounds).astype(np.uint32).tobytes(), "flat": flat.astype(np.uint32).tobytes(), "rank": rank.tobytes(), "hashes": hashes.tobytes(), "end": words.index(END)}
+    times = np.bincount(flat, minlength=len(words))
+    often = times > max(1, LEAST_SHARE / 2 * len(flat), share / 2 * len(flat))
+    return {
+        "chunk": chunk, "ids": ids, "held": held, "sizes": np.diff(bounds).astype(np.uint32).tobytes(), "flat": flat.astype(np.uint32).tobytes(), "rank": rank.tobytes(), "hashes": hashes.tobytes(), "end": words.index(END),
+        "often": [{"h": h, "n": x} for h, x in zip(hashes[often].view(np.int64).tolist(), times[often].tolist(), strict=True)], "n": len(flat),
+    }
 
 
 def pairs_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,22 +156,64 @@ def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def sent(row, n_buckets: int):
+def splits_of(kept: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the words to split, and over how many buckets.
+
+    A word with a share of all tokens has half of it in chunks where it has half of it, so that counts of those
+    chunks alone find it. At most 2 / LEAST_SHARE words, which is the bound of all that is sent by such words.
+    """
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST_SHARE, 1 / (PARTS * n_buckets)) / 2 * total
+    found = kept.select(F.explode("often").alias("o")).groupBy(F.col("o.h").alias("h")).agg(F.sum("o.n").alias("n")).where(F.col("n") >= least).toPandas().sort_values("h")
+    order = np.argsort(found["h"].to_numpy(np.int64).view(np.uint64))
+    parts = np.ceil(found["n"].to_numpy(np.float64) / max(1, total) * PARTS * n_buckets).astype(np.int64) + 1
+    return found["h"].to_numpy(np.int64).view(np.uint64)[order], parts[order]
+
+
+def places(hashes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these hashes are in the sorted array often, and their places there."""
+    at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
+    found = np.flatnonzero(often[at] == hashes) if len(often) else np.zeros(0, np.int64)
+    return found, at[found]
+
+
+def route(hashes: np.ndarray, word: np.ndarray, before: np.ndarray, n_buckets: int, splits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's pairs: their order by bucket and word, where a new (bucket, word) begins in it, and these buckets."""
+    of_word = shard_of(hashes, n_buckets)
+    bucket = of_word[word]
+    parts = np.zeros(len(hashes), np.uint64)
+    found, at = places(hashes, splits[0])
+    parts[found] = splits[1][at]
+    many = np.flatnonzero(parts[word])
+    part = mix(hashes[before[many]]) % parts[word[many]] + np.uint64(1)
+    bucket[many] = shard_of(mix(hashes[word[many]] + part * np.uint64(0x9E3779B97F4A7C15)), n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, sorted_word = bucket[order], word[order]
+    begins = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (sorted_word[1:] != sorted_word[:-1])))
+    return order, begins, bucket[begins]
+
+
+def sent(row, n_buckets: int, splits):
     """What a chunk sends to each bucket: hashes of its words, how many pairs each has, their contexts and counts."""
     word, before, inverse, sizes = pairs_of(row)
     hashes = np.sort(np.frombuffer(row["hashes"], np.uint64))
     train = ~np.repeat(np.array(row["held"], bool), sizes)
     counts = np.bincount(inverse[train], minlength=len(word)).astype(np.uint32)
-    per_word = np.bincount(word, minlength=len(hashes)).astype(np.uint32)
-    bucket, contexts = shard_of(hashes, n_buckets), hashes[before]
-    starts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    pair_starts = np.searchsorted(word, starts)
-    for b in np.unique(bucket).tolist():
-        w, p = slice(starts[b], starts[b + 1]), slice(pair_starts[b], pair_starts[b + 1])
-        yield {"chunk": row["chunk"], "bucket": b, "a": hashes[w].tobytes(), "b": per_word[w].tobytes(), "c": contexts[p].tobytes(), "d": counts[p].tobytes()}
+    order, begins, bucket = route(hashes, word, before, n_buckets, splits)
+    words, per_word = hashes[word[order[begins]]], np.diff(begins, append=len(order)).astype(np.uint32)
+    contexts, counts = hashes[before[order]], counts[order]
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(begins))
+    pair_edges = np.append(begins, len(order))
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        w, p = slice(i, j), slice(pair_edges[i], pair_edges[j])
+        yield {"chunk": row["chunk"], "bucket": int(bucket[i]), "a": words[w].tobytes(), "b": per_word[w].tobytes(), "c": contexts[p].tobytes(), "d": counts[p].tobytes()}
+
+
+def merge_with(often: np.ndarray):
+    return lambda pdf: merge(pdf, often)
 
 
-def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+def merge(pdf: pd.DataFrame, often: np.ndarray) -> pd.DataFrame:
     """One row for a bucket: its words' pairs with summed counts, its contexts, and where each chunk's pairs are."""
     pdf = pdf.sort_values("chunk")
     hashes = [np.frombuffer(x, np.uint64) for x in pdf["a"]]
@@ -172,19 +224,23 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["d"]]), len(pairs)).astype(np.int64)
     word, cls = pairs // len(contexts), pairs % len(contexts)
     of_word = np.bincount(word, counts, len(words))
+    shared, place = places(words, often)
+    own = np.ones(len(words), bool)
+    own[shared] = False
     ends = np.cumsum([s.sum() for s in sizes])[:-1]
     maps = [np.diff(m, prepend=0).astype(np.uint32).tobytes() for m in np.split(at, ends)]  # in order, so that steps are small
     return pd.DataFrame(
         {
             "bucket": [int(pdf["bucket"].iloc[0])], "chunks": [pdf["chunk"].tolist()], "maps": [maps], "sizes": [list(pdf["b"])],
             "word": [word.astype(np.uint32).tobytes()], "cls": [cls.astype(np.uint32).tobytes()], "c": [counts.astype(np.uint32).tobytes()],
-            "keys": [contexts.tobytes()], "sums": [[int(counts.sum()), int((of_word > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())]],
+            "keys": [contexts.tobytes()], "sums": [[int(counts.sum()), int((of_word[own] > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())]],
+            "shared": [shared.astype(np.uint32).tobytes()], "place": [place.astype(np.uint32).tobytes()], "many": [of_word[shared].astype(np.uint32).tobytes()],
         }
     )
 
 
-MERGED = "bucket long, chunks array<long>, maps array<binary>, sizes array<binary>, word binary, cls binary, c binary, keys binary, sums array<long>"
-CORE = "bucket long, word binary, cls binary, c binary, keys binary, static binary, t binary, root binary, t0 binary, customers long, root_tables long"
+MERGED = "bucket long, chunks array<long>, maps array<binary>, sizes array<binary>, word binary, cls binary, c binary, keys binary, sums array<long>, shared binary, place binary, many binary"
+CORE = "bucket long, word binary, cls binary, c binary, keys binary, static binary, t binary, root binary, t0 binary, customers long, root_tables long, shared binary, place binary, many binary"
 MESSAGE = "bucket long, want boolean, keys binary, x binary"
 
 
@@ -193,15 +249,35 @@ def _columns(row) -> tuple[np.ndarray, ...]:
 
 
 def core_row(row) -> pd.DataFrame:
-    """A merged bucket's pairs met more than once, their contexts, and each word's customers of the other pairs."""
+    """A merged bucket's pairs met more than once, their contexts, and each word's customers of the other pairs.
+
+    shared: the bucket's words that others have too, place: where these are among all such words, many: their
+    customers here (of a merged bucket: their tokens). customers and root_tables count the bucket's own words alone.
+    """
     word, cls, c = _columns(row)
     n_words, many = int(word[-1]) + 1, c > 1
     used, at = np.unique(cls[many], return_inverse=True)
     static, root = np.bincount(word, c == 1, n_words), np.bincount(word, c > 0, n_words)
     found = {"word": word[many], "cls": at, "c": c[many], "static": static, "t": np.ones(many.sum()), "root": root > 0}
     found = {k: [v.astype(np.uint32).tobytes()] for k, v in found.items()}
-    keys = np.frombuffer(row["keys"], np.uint64)[used].tobytes()
-    return pd.DataFrame({"bucket": [int(row["bucket"])], **found, "keys": [keys], "t0": [b""], "customers": [int(root.sum())], "root_tables": [int((root > 0).sum())]})
+    keys, shared = np.frombuffer(row["keys"], np.uint64)[used].tobytes(), np.frombuffer(row["shared"], np.uint32)
+    own = np.ones(n_words, bool)
+    own[shared] = False
+    return pd.DataFrame({"bucket": [int(row["bucket"])], **found, "keys": [keys], "t0": [b""], "customers": [int(root[own].sum())], "root_tables": [int((root[own] > 0).sum())], "shared": [row["shared"]], "place": [row["place"]], "many": [root[shared].astype(np.uint32).tobytes()]})
+
+
+def summed(rows: DataFrame, n: int) -> np.ndarray:
+    """`many` of the words that buckets share, added up over all: n numbers."""
+
+    def run(frames):
+        for pdf in frames:
+            for _, row in pdf.iterrows():
+                yield pd.DataFrame({"place": np.frombuffer(row["place"], np.uint32).astype(np.int64), "many": np.frombuffer(row["many"], np.uint32).astype(np.int64)})
+
+    found = rows.select("place", "many").mapInPandas(run, "place long, many long").groupBy("place").agg(F.sum("many").alias("many")).toPandas()
+    out = np.zeros(n, np.int64)
+    out[found["place"].to_numpy(np.int64)] = found["many"]
+    return out
 
 
 def opening(row) -> list[dict]:
@@ -281,6 +357,9 @@ class Bucket:
         self.n_words = len(static) // 4 if static is not None else int(self.word[-1]) + 1 if len(self.word) else 0
         self.static = np.zeros(self.n_words, np.int64) if static is None else np.frombuffer(static, np.uint32).astype(np.int64)
         self.t = (self.c > 0).astype(np.int64)
+        self.shared, self.place = (np.frombuffer(row.get(x, b""), np.uint32).astype(np.int64) for x in ("shared", "place"))
+        self.own = np.ones(self.n_words, bool)
+        self.own[self.shared] = False
         self.count()
         self.root_t = (self.customers > 0).astype(np.int64)
         self.base = 1.0 / (setting["v"] + 1)
@@ -290,14 +369,17 @@ class Bucket:
 
     def root_p(self, state: dict) -> np.ndarray:
         s = self.setting
-        return (self.customers - s["d1"] * self.root_t + (s["theta1"] + s["d1"] * state["root_tables"]) * self.base) / (s["theta1"] + state["customers"])
+        customers, root_t = self.customers.copy(), self.root_t.copy()
+        if len(self.shared):
+            customers[self.shared], root_t[self.shared] = state["shared"][0][self.place], state["shared"][1][self.place]
+        return (customers - s["d1"] * root_t + (s["theta1"] + s["d1"] * state["root_tables"]) * self.base) / (s["theta1"] + state["customers"])
 
     def sweep(self, k: int, state: dict) -> None:
         s, rng = self.setting, np.random.default_rng([11, self.number, k])
         p = self.root_p(state)
         self.t = seat(self.c, self.t, state["tables"][self.cls], p[self.word], s["theta2"], s["d2"], rng)
         self.count()
-        at = np.flatnonzero(self.customers > 0)
+        at = np.flatnonzero((self.customers > 0) & self.own)
         total = np.full(len(at), state["root_tables"], np.float64)
         self.root_t[at] = seat(self.customers[at], self.root_t[at], total, np.full(len(at), self.base), s["theta1"], s["d1"], rng)
 
@@ -321,7 +403,7 @@ def sweep_with(setting: dict, k: int, state: dict):
         b.root_t = np.frombuffer(row["root"], np.uint32).astype(np.int64)
         b.count()
         b.sweep(k, state | {"tables": tables})
-        row |= {"t": b.t.astype(np.uint32).tobytes(), "root": b.root_t.astype(np.uint32).tobytes(), "customers": int(b.customers.sum()), "root_tables": int(b.root_t.sum())}
+        row |= {"t": b.t.astype(np.uint32).tobytes(), "root": b.root_t.astype(np.uint32).tobytes(), "customers": int(b.customers[b.own].sum()), "root_tables": int(b.root_t[b.own].sum()), "many": b.customers[b.shared].astype(np.uint32).tobytes()}
         return pd.DataFrame([row])
 
     return sweep
@@ -336,26 +418,36 @@ def _sums(rows: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def fitted(kept: DataFrame, n_buckets: int, theta: tuple[float, float]) -> tuple[DataFrame, int, int, dict]:
+def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float]) -> tuple[DataFrame, int, int, dict]:
     """What each chunk needs to score its texts, from buckets and shards; all tokens and words learnt; the setting."""
 
     def send(frames):
         for pdf in frames:
             for _, row in pdf.iterrows():
-                yield pd.DataFrame(sent(row, n_buckets))
+                yield pd.DataFrame(sent(row, n_buckets, splits))
 
-    pairs = kept.drop("ids").mapInPandas(send, "chunk long, bucket long, a binary, b binary, c binary, d binary")
-    merged = settle(pairs.groupBy("bucket").applyInPandas(merge, MERGED), "merged")
+    pairs = kept.drop("ids", "often").mapInPandas(send, "chunk long, bucket long, a binary, b binary, c binary, d binary")
+    merged = settle(pairs.groupBy("bucket").applyInPandas(merge_with(splits[0]), MERGED), "merged")
     n, v, n1, n2 = [*_sums(merged, "sums"), 0, 0, 0, 0][:4]
+    tokens = summed(merged, len(splits[0]))  # of the words that buckets share
+    v += int((tokens > 0).sum())
     d = float(np.clip(n1 / max(1, n1 + 2 * n2), 0.05, 0.95))
     setting = {"v": v, "d1": d, "d2": d, "theta1": theta[0], "theta2": theta[1]}
-    lean = merged.select("bucket", "word", "cls", "c", "keys")
+    lean = merged.select("bucket", "word", "cls", "c", "keys", "shared", "place")
     core = settle(lean.mapInPandas(_each(core_row), CORE), "core")
     start = settle(totals(lean.mapInPandas(_each(opening), MESSAGE), n_buckets), "totals")
     ask, cores, states = start.where("bucket >= 0"), [], []
     for k in range(SWEEPS + 1):
         found = core.agg(F.sum("customers"), F.sum("root_tables")).first()
-        states.append({"customers": float(found[0] or 0), "root_tables": float(found[1] or 0)})
+        customers = summed(core, len(splits[0]))
+        if k:
+            busy, (_, root) = np.flatnonzero(customers), states[-1]["shared"]
+            root = np.where(customers > 0, np.maximum(root, 1), 0)
+            total = np.full(len(busy), states[-1]["root_tables"])
+            root[busy] = seat(customers[busy], np.minimum(root, customers)[busy], total, np.full(len(busy), 1.0 / (v + 1)), theta[0], d, np.random.default_rng([11, k]))
+        else:
+            root = (customers > 0).astype(np.int64)
+        states.append({"customers": float(found[0] or 0) + float(customers.sum()), "root_tables": float(found[1] or 0) + float(root.sum()), "shared": (customers, root)})
         cores.append(core)
         if k == SWEEPS:
             break
@@ -399,6 +491,7 @@ def fitted(kept: DataFrame, n_buckets: int, theta: tuple[float, float]) -> tuple
             seated.append(b.t)
             parents.append(b.root_p(states[k]))
         of_word = np.bincount(b.word, b.c, b.n_words).astype(np.uint32)
+        of_word[b.shared] = tokens[b.place]
         out = []
         for chunk, at, sizes in zip(row["chunks"], row["maps"], row["sizes"], strict=True):
             at, of = np.cumsum(np.frombuffer(at, np.uint32)), np.frombuffer(sizes, np.uint32).astype(np.int64)
@@ -408,7 +501,7 @@ def fitted(kept: DataFrame, n_buckets: int, theta: tuple[float, float]) -> tuple
             out.append((chunk, b.number, low.tobytes(), b.c[at[low == 255]].astype(np.uint32).tobytes(), tables.tobytes(), of_word[words].tobytes(), np.stack([p[words] for p in parents]).tobytes(), sizes))
         return pd.DataFrame(out, columns=["chunk", "bucket", "low", "high", "tables", "counts", "parents", "sizes"])
 
-    pieces = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c").groupBy("bucket").cogroup(given.groupBy("bucket"))
+    pieces = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c", "shared", "place").groupBy("bucket").cogroup(given.groupBy("bucket"))
     back = settle(pieces.applyInPandas(answer, "chunk long, bucket long, low binary, high binary, tables binary, counts binary, parents binary, sizes binary"), "back")
     contexts = settle(totals(ask, n_buckets).where("bucket >= 0").select(F.col("bucket").alias("chunk"), "shard", "x"), "contexts")
     for table in (merged, start, *cores):
@@ -435,21 +528,22 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         first = TaskContext.get().partitionId() << 24
         ids, texts, held, size, n = [], [], [], 0, 0
         for batch in batches:
-            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in ("sizes", "flat", "rank", "hashes")], ("end", pa.int64())])
+            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in ("sizes", "flat", "rank", "hashes")], ("end", pa.int64()), ("often", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), ("n", pa.int64())])
             for i, t, h in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t)
                 held.append(h)
                 size += len(t) + 8
                 if size >= CHUNK:
-                    yield pa.RecordBatch.from_pylist([chunk_row(first + n, ids, texts, held)], schema=schema)
+                    yield pa.RecordBatch.from_pylist([chunk_row(first + n, ids, texts, held, 1 / (PARTS * n_buckets))], schema=schema)
                     ids, texts, held, size, n = [], [], [], 0, n + 1
         if texts:
-            yield pa.RecordBatch.from_pylist([chunk_row(first + n, ids, texts, held)], schema=schema)
+            yield pa.RecordBatch.from_pylist([chunk_row(first + n, ids, texts, held, 1 / (PARTS * n_buckets))], schema=schema)
 
-    kept = settle(docs.mapInArrow(chunks, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, flat binary, rank binary, hashes binary, end long"), "chunks")
+    kept = settle(docs.mapInArrow(chunks, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, flat binary, rank binary, hashes binary, end long, often array<struct<h:long,n:long>>, n long"), "chunks")
+    splits = splits_of(kept, n_buckets)
     with heavy_rows(docs.sparkSession):
-        back, n, v, setting = fitted(kept, n_buckets, theta)
+        back, n, v, setting = fitted(kept, n_buckets, splits, theta)
 
     used = SWEEPS - BURN_IN
 
@@ -458,18 +552,23 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         tables = _answer(back[asked].rename(columns={"bucket": "shard"}), 1 + used)
         back = back[~asked].sort_values("bucket")
         word, before, tokens, sizes = pairs_of(row)
-        count = np.frombuffer(b"".join(back["counts"]), np.uint32).astype(np.int64)  # of words, as ranked
+        hashes = np.sort(np.frombuffer(row["hashes"], np.uint64))
+        order, begins, _ = route(hashes, word, before, n_buckets, splits)
+        count, at = np.zeros(len(hashes), np.int64), word[order[begins]]  # of words, as ranked
+        count[at] = np.frombuffer(b"".join(back["counts"]), np.uint32)
         low = np.frombuffer(b"".join(back["low"]), np.uint8)
         c = low.astype(np.int64)
         c[low == 255] = np.frombuffer(b"".join(back["high"]), np.uint32)
         seated = np.concatenate([np.frombuffer(x, np.uint32).reshape(used, -1) for x in back["tables"]], 1)
-        parents = np.concatenate([np.frombuffer(x, np.float64).reshape(used, -1) for x in back["parents"]], 1)
+        parents = np.zeros((used, len(hashes)))
+        parents[:, at] = np.concatenate([np.frombuffer(x, np.float64).reshape(used, -1) for x in back["parents"]], 1)
         p = 0.0
         for k in range(used):
             t = (c > 0).astype(np.int64)
             t[c > 1] = seated[k]
-            p = p + predicted(c, t, (tables[0] + tables[1 + k])[before], count[before], parents[k][word], setting["theta2"], setting["d2"]) / used
-        log, of_pair = np.log10(p), count[word]
+            p = p + predicted(c, t, (tables[0] + tables[1 + k])[before[order]], count[before[order]], parents[k][word[order]], setting["theta2"], setting["d2"]) / used
+        log, of_pair = np.empty(len(word)), count[word]
+        log[order] = np.log10(p)
         starts = np.cumsum(sizes) - sizes
         base = np.log10((of_pair + 0.5) / (n + 0.5 * (v + 1)))
 
@@ -479,5 +578,5 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         ids = list(row["ids"])
         return pd.DataFrame({"id": pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else "object"), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": per_doc((of_pair > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), int(n)), "base_score": per_doc(base), "score": per_doc(log)})
 
-    out = kept.drop("hashes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = kept.drop("often", "n").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -212,6 +212,86 @@ def test_seating_follows_the_conditional():
     assert np.abs(total / total.sum() - target).max() < 0.01
 
 
+@pytest.mark.parametrize("c", [40, 300, 2000])
+def test_seating_of_many_customers(c):
+    """Whole conditional by the recurrence of generalised Stirling numbers, whatever c; strong and weak parents."""
+    d, theta, rest, n = 0.6, 1.0, 30, 4000
+    log = np.full(c + 1, -np.inf)
+    log[1] = 0
+    for m in range(1, c):
+        log[1:] = np.logaddexp(np.where(m - np.arange(1, c + 1) * d > 0, np.log(np.maximum(m - np.arange(1, c + 1) * d, 1e-300)) + log[1:], -np.inf), log[:-1])
+    rng, t = np.random.default_rng(4), np.arange(1, c + 1)
+    for p in (0.001, 0.05, 0.9):
+        w = log[1:] + np.cumsum(np.log(p * (theta + d * (rest + t - 1))))
+        w = np.exp(w - w.max())
+        got = pylm.seat(np.full(n, c), np.ones(n, np.int64), np.full(n, rest + 1), np.full(n, p), theta, d, rng)
+        assert abs(got.mean() - (w * t).sum() / w.sum()) < 0.03 * got.mean()
+    t = np.arange(1, min(c, 400))
+    assert c < 1000 or np.abs(pylm.ratios(c, t, d) - np.diff(log[1:])[t - 1]).max() < 1e-8
+
+
+def test_language_model_against_a_small_sampler(spark):
+    """Scores of the same model seated customer by customer, on one machine, over many sweeps."""
+    rng, words = np.random.default_rng(6), [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words, 30, p=np.arange(12, 0, -1) / 78))) for i in range(60)]
+    got = {r.doc_id: r.score for r in pylm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 1).collect()}
+    seqs = {i: [" ", *t.split(), " "] for i, t in rows}
+    pairs = collections.Counter(p for i, s in seqs.items() if i % 5 != 1 for p in zip(s, s[1:], strict=False))
+    n1, n2 = sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values())
+    d, theta = min(max(n1 / (n1 + 2 * n2), 0.05), 0.95), 1.0
+    vocabulary = sorted({w for _, w in pairs})
+    of = collections.Counter()
+    for (u, _), c in pairs.items():
+        of[u] += c
+    seats = {p: [c] for p, c in pairs.items()}
+    roots = {w: [sum(1 for _, x in pairs if x == w)] for w in vocabulary}
+
+    def chance(tables, total_tables, parent):
+        return [*(x - d for x in tables), (theta + d * total_tables) * parent]
+
+    def at_root(w):
+        n = sum(map(sum, roots.values()))
+        return (sum(roots[w]) - d * len(roots[w]) + (theta + d * sum(map(len, roots.values()))) / (len(vocabulary) + 1)) / (theta + n)
+
+    def leave(tables):
+        k = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def enter(tables, weights):
+        k = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+        if k < len(tables):
+            tables[k] += 1
+            return False
+        tables.append(1)
+        return True
+
+    sums, used = collections.Counter(), 0
+    for sweep in range(40):
+        for (u, w), c in pairs.items():
+            for _ in range(c):
+                if leave(seats[u, w]):
+                    leave(roots[w])
+                total = sum(len(seats.get((u, x), ())) for x in vocabulary)
+                if enter(seats[u, w], chance(seats[u, w], total, at_root(w))):
+                    enter(roots[w], chance(roots[w], sum(map(len, roots.values())), 1 / (len(vocabulary) + 1)))
+        if sweep >= 10:
+            used += 1
+            tables = collections.Counter()
+            for (u, _), x in seats.items():
+                tables[u] += len(x)
+            for u in [" ", *words]:
+                for w in vocabulary:
+                    x = seats.get((u, w), [])
+                    sums[u, w] += (sum(x) - d * len(x) + (theta + d * tables[u]) * at_root(w)) / (theta + of[u])
+    for i, s in seqs.items():
+        want = sum(math.log10(sums[p] / used) for p in zip(s, s[1:], strict=False))
+        assert abs(got[i] - want) < 0.02 * abs(want)
+
+
 def test_toxicity(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train(docs, labels, F.lit(True))
