@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, one machine) a temporary folder takes its place.
+    Only where that setting is absent on one machine (tests) a temporary folder takes its place; a cluster without it
+    is an error, as executors would write where nobody else reads.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="aligna-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +38,11 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def side(small: DataFrame, most: int = 100_000) -> DataFrame:
+    """The smaller side of a join, settled before: broadcast up to `most` rows, else merged."""
+    return F.broadcast(small) if small.count() <= most else small.hint("merge")
+
+
 @contextlib.contextmanager
 def heavy_rows(spark: SparkSession, most: int = 4):
     """For queries run within over rows of many MB: few of them at once go to Python, and shuffle files end with the query."""
@@ -93,21 +102,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordIds(dict):
-    """Numbers words in order of appearance."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+def numbered(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word numbers of all texts end to end, the bounds of each text, and the distinct words.
 
-
-def numbered(word_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Word numbers of all lists end to end, the bounds of each list, and the distinct words."""
-    ids = WordIds()
-    bounds = np.zeros(len(word_lists) + 1, np.int64)
-    np.cumsum([len(w) for w in word_lists], out=bounds[1:])
-    flat = np.fromiter((ids[w] for ws in word_lists for w in ws), np.int64, int(bounds[-1]))
-    return flat, bounds, list(ids)
+    Words are runs without ASCII white space; lower: with A-Z lowered.
+    """
+    column = pa.array(texts, pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    every = split.flatten().dictionary_encode()
+    flat, bounds, words = every.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64), [w.encode() for w in every.dictionary.to_pylist()]
+    if b"" in words:  # what white space at an end of a text leaves
+        gap = words.index(b"")
+        kept = flat != gap
+        bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
+        flat, words = flat[kept], words[:gap] + words[gap + 1 :]
+        flat -= flat > gap
+    return flat, bounds, words
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import begin, mix, numbered, raw, settle, slices, word_hashes
+from aligna.llm.common import begin, mix, numbered, raw, settle, side, slices, word_hashes
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW = np.uint64(0xFFFFFFFF)
@@ -22,8 +22,7 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
     Words: runs without ASCII white space, A-Z lowered. Fewer words than size: all of them are the one shingle.
     """
-    lists = [t.lower().split() for t in texts]
-    ids, bounds, words = numbered(lists)
+    ids, bounds, words = numbered(texts, lower=True)
     h = word_hashes(words)[ids]
     if len(h) >= size:
         total = np.zeros(len(h) - size + 1, np.uint64)
@@ -156,6 +155,10 @@ def components(edges: DataFrame) -> DataFrame:
     return mapping
 
 
+def _kind(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int, bands: int) -> DataFrame:
     """id, n_shingles, a 128-bit fingerprint (f1, f2) of the set, and its band keys (none for an empty set)."""
 
@@ -175,7 +178,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(f[0]), pa.array(f[1]), lists], names=["id", "n_shingles", "f1", "f2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {_kind(docs, id_col)}, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _blocks(members: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -187,15 +190,15 @@ def _blocks(members: DataFrame, similarity: float, block: int) -> DataFrame:
     """
     width = math.log(1 / similarity) * 1.0001
     n = members.groupBy("grp").agg(F.count("*").alias("n_grp"))
-    small = n.where(F.col("n_grp") <= block).select("grp")
-    large = n.where(F.col("n_grp") > block).select("grp")
-    one = members.join(small, "grp").select("id", F.concat(F.lit("g"), "grp").alias("unit"), F.lit(0).alias("label"))
-    classed = members.join(large, "grp").withColumn("c", F.floor(F.log("n_shingles") / F.lit(width)).cast("int"))
+    large = settle(n.where(F.col("n_grp") > block).select("grp"), "large")
+    one = members.join(side(large), "grp", "left_anti").select("id", F.concat(F.lit("g"), "grp").alias("unit"), F.lit(0).alias("label"))
+    classed = members.join(side(large), "grp").withColumn("c", F.floor(F.log("n_shingles") / F.lit(width)).cast("int"))
     m = classed.groupBy("grp", "c").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m"))
     near = m.select("grp", "c", "m")
     for step, name in ((-1, "below"), (1, "above")):
         near = near.join(m.select("grp", (F.col("c") - step).alias("c"), F.col("m").alias(name)), ["grp", "c"], "left")
-    dealt = classed.join(near, ["grp", "c"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    near = settle(near, "classes")
+    dealt = classed.join(side(near), ["grp", "c"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
 
     def many(count, name):
         seq = F.when(F.coalesce(count, F.lit(0)) > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
@@ -223,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     within a group are compared on whole sets, in blocks, each giving a spanning forest. Nothing is capped.
     Null and empty texts and those without a word have no shingles and no links. A row whose id is null is linked
     with nothing, has component_id null and is kept. Repeated rows give a row each; ids that clash in text are judged
-    row by row. Other columns are ignored. An empty table gives no rows.
+    row by row. Ids may be numbers or texts. Other columns are ignored. An empty table gives no rows.
     """
     sig = settle(signatures(docs, id_col, text_col, size, rows, bands), "signatures")
     real = sig.where("id IS NOT NULL AND n_shingles > 0")
@@ -234,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(stars)
     members = groups.select(F.col("node").alias("id"), F.col("root").alias("grp")).join(reps.select(F.col("rep").alias("id"), "n_shingles").dropDuplicates(["id"]), "id")
     members = settle(members, "members")
-    linked = _confirmed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), members, size, percent, block)
+    linked = _confirmed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), members, size, percent, block)
     found = components(linked).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
     out = sig.select("id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2", "n_shingles"], "left").join(found, "rep", "left")
     comp = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("comp", "rep"))
@@ -243,6 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _confirmed(docs: DataFrame, members: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    kind = _kind(docs, "id")
+
     def sets(batches):
         begin()
         for batch in batches:
@@ -256,13 +261,13 @@ def _confirmed(docs: DataFrame, members: DataFrame, size: int, percent: int, blo
         for _, unit in pdf.groupby("unit", sort=False):
             unit = unit.drop_duplicates(["id", "shingles"])
             if len(unit) > 1:
-                ids = unit["id"].to_numpy()
+                ids = unit["id"].tolist()
                 arrays = [np.frombuffer(x, np.uint64) for x in unit["shingles"]]
-                out += [(int(ids[i]), int(ids[j])) for i, j in confirm(arrays, unit["label"].to_numpy(), percent)]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out += [(ids[i], ids[j]) for i, j in confirm(arrays, unit["label"].to_numpy(), percent)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=None if out else "object")
 
     units = _blocks(members, percent / 100, block)
     tasks = max(1, members.count() // block)
     units = units.withColumn("task", F.when(F.col("unit").startswith("g"), F.pmod(F.xxhash64("unit"), F.lit(tasks)).cast("string")).otherwise(F.col("unit")))
-    hashed = docs.join(members.select("id"), "id").mapInArrow(sets, "id long, shingles binary")
-    return units.join(settle(hashed, "shingles"), "id").groupBy("task").applyInPandas(compare, "a long, b long")
+    hashed = docs.join(members.select("id"), "id").mapInArrow(sets, f"id {kind}, shingles binary")
+    return units.join(settle(hashed, "shingles"), "id").groupBy("task").applyInPandas(compare, f"a {kind}, b {kind}")

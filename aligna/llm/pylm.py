@@ -124,17 +124,15 @@ def predicted(c, t, tables, customers, parent, theta: float, d: float):
 def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool], share: float) -> dict:
     """A chunk as kept: sizes of its texts, word numbers, the words' hashes and their ranks by hash, the end's number,
     and the words that have half of that share of its tokens, with their numbers."""
-    lists = [t.lower().split() for t in texts]
-    for words in lists:
-        words.append(END)
-    flat, bounds, words = numbered(lists)
+    flat, bounds, words = numbered(texts, lower=True)
+    flat, bounds, words = np.insert(flat, bounds[1:], len(words)), bounds + np.arange(len(bounds)), [*words, END]
     hashes = word_hashes(words)
     rank = np.empty(len(words), np.uint32)
     rank[np.argsort(hashes, kind="stable")] = np.arange(len(words), dtype=np.uint32)
     times = np.bincount(flat, minlength=len(words))
     often = times > max(1, LEAST_SHARE / 2 * len(flat), share / 2 * len(flat))
     return {
-        "chunk": chunk, "ids": ids, "held": held, "sizes": np.diff(bounds).astype(np.uint32).tobytes(), "flat": flat.astype(np.uint32).tobytes(), "rank": rank.tobytes(), "hashes": hashes.tobytes(), "end": words.index(END),
+        "chunk": chunk, "ids": ids, "held": held, "sizes": np.diff(bounds).astype(np.uint32).tobytes(), "flat": flat.astype(np.uint32).tobytes(), "rank": rank.tobytes(), "hashes": hashes.tobytes(), "end": len(words) - 1,
         "often": [{"h": h, "n": x} for h, x in zip(hashes[often].view(np.int64).tolist(), times[often].tolist(), strict=True)], "n": len(flat),
     }
 
@@ -333,7 +331,7 @@ def totals(messages: DataFrame, n_shards: int) -> DataFrame:
         return pd.DataFrame(back, columns=["bucket", "keys", "x"]).assign(shard=int(pdf["shard"].iloc[0]))
 
     rows = messages.mapInPandas(split, "shard long, bucket long, want boolean, keys binary, x binary")
-    return rows.groupBy("shard").applyInPandas(add, "bucket long, shard long, keys binary, x binary")
+    return rows.repartition(n_shards, "shard").groupBy("shard").applyInPandas(add, "bucket long, shard long, keys binary, x binary")
 
 
 def _answer(back: pd.DataFrame, width: int) -> np.ndarray:
@@ -427,7 +425,7 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
                 yield pd.DataFrame(sent(row, n_buckets, splits))
 
     pairs = kept.drop("ids", "often").mapInPandas(send, "chunk long, bucket long, a binary, b binary, c binary, d binary")
-    merged = settle(pairs.groupBy("bucket").applyInPandas(merge_with(splits[0]), MERGED), "merged")
+    merged = settle(pairs.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(merge_with(splits[0]), MERGED), "merged")
     n, v, n1, n2 = [*_sums(merged, "sums"), 0, 0, 0, 0][:4]
     tokens = summed(merged, len(splits[0]))  # of the words that buckets share
     v += int((tokens > 0).sum())
@@ -451,7 +449,9 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
         cores.append(core)
         if k == SWEEPS:
             break
-        core = settle(core.groupBy("bucket").cogroup(ask.groupBy("bucket")).applyInPandas(sweep_with(setting, k, states[k]), CORE), "core")
+        core = settle(core.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(ask.repartition(n_buckets, "bucket").groupBy("bucket")).applyInPandas(sweep_with(setting, k, states[k]), CORE), "core")
+        if k <= BURN_IN:
+            drop(cores[k])
         moved = core.select("bucket", "cls", "keys", "t").mapInPandas(_each(lambda r: [{"bucket": r["bucket"], "want": True, "keys": r["keys"], "x": added(r).tobytes()}]), MESSAGE)
         ask = totals(moved, n_buckets).where("bucket >= 0")
 
@@ -501,10 +501,10 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
             out.append((chunk, b.number, low.tobytes(), b.c[at[low == 255]].astype(np.uint32).tobytes(), tables.tobytes(), of_word[words].tobytes(), np.stack([p[words] for p in parents]).tobytes(), sizes))
         return pd.DataFrame(out, columns=["chunk", "bucket", "low", "high", "tables", "counts", "parents", "sizes"])
 
-    pieces = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c", "shared", "place").groupBy("bucket").cogroup(given.groupBy("bucket"))
+    pieces = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c", "shared", "place").repartition(n_buckets, "bucket").groupBy("bucket").cogroup(given.repartition(n_buckets, "bucket").groupBy("bucket"))
     back = settle(pieces.applyInPandas(answer, "chunk long, bucket long, low binary, high binary, tables binary, counts binary, parents binary, sizes binary"), "back")
     contexts = settle(totals(ask, n_buckets).where("bucket >= 0").select(F.col("bucket").alias("chunk"), "shard", "x"), "contexts")
-    for table in (merged, start, *cores):
+    for table in (merged, start, *cores[BURN_IN + 1 :]):
         drop(table)
     empty = [F.lit(None).cast("binary").alias(x) for x in ("low", "high", "tables", "counts", "parents", "sizes")]
     return back.withColumn("x", F.lit(None).cast("binary")).unionByName(contexts.select("chunk", F.col("shard").alias("bucket"), *empty, "x")), n, v, setting
@@ -578,5 +578,5 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         ids = list(row["ids"])
         return pd.DataFrame({"id": pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else "object"), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": per_doc((of_pair > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), int(n)), "base_score": per_doc(base), "score": per_doc(log)})
 
-    out = kept.drop("often", "n").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = kept.drop("often", "n").repartition(n_buckets, "chunk").groupBy("chunk").cogroup(back.repartition(n_buckets, "chunk").groupBy("chunk")).applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -60,8 +60,7 @@ def repeats(ids: np.ndarray, owner: np.ndarray, size: int, words: np.ndarray) ->
 
 def measure(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """COUNTS as int64 and FEATURES as float64, a row for each text."""
-    lists = [t.split() for t in texts]
-    ids, bounds, words = numbered(lists)
+    ids, bounds, words = numbered(texts)
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(texts)), n)
     lengths = np.fromiter((len(w) - _count(w, CONTINUED) for w in words), np.int64, len(words))

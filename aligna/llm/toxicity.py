@@ -16,8 +16,7 @@ TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 
 def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed words, word pairs and pairs with one word between, of each text: indexes and bounds."""
-    lists = [t.translate(TABLE).split() for t in texts]
-    ids, bounds, words = numbered(lists)
+    ids, bounds, words = numbered([t.translate(TABLE) for t in texts])
     h = word_hashes(words)[ids]
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     keys = [(owner, mix(h))]

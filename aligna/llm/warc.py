@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aligna.llm.common import settle
+from aligna.llm.common import settle, side
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -163,11 +163,6 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _side(small: DataFrame, most: int = 100_000) -> DataFrame:
-    """The side of a join that grows with the number of blocks: broadcast up to `most` rows, else merged."""
-    return F.broadcast(small) if small.count() <= most else small.hint("merge")
-
-
 def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives under path.
 
@@ -184,21 +179,21 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFr
     before = F.coalesce(F.sum("total").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = settle(blocks.select("path", "block", before.alias("base")), "bases")
     moved = {c: F.col(c) + F.col("base") for c in ("at", "next", "exit")}
-    placed = seg.withColumn("local", F.col("at")).join(_side(base), ["path", "block"]).withColumns(moved).drop("base", "total")
+    placed = seg.withColumn("local", F.col("at")).join(side(base), ["path", "block"]).withColumns(moved).drop("base", "total")
     starts = placed.where("exit IS NOT NULL").select("path", F.col("exit").alias("at")).distinct()
     starts = settle(starts, "starts")
     first = placed.where("next IS NOT NULL").select("path", "at", F.col("exit").alias("to"), "block", "tin")
-    jump = settle(first.where("at = 0").unionByName(first.where("at <> 0").join(_side(starts), ["path", "at"], "left_semi")), "jumps")
+    jump = settle(first.where("at = 0").unionByName(first.where("at <> 0").join(side(starts), ["path", "at"], "left_semi")), "jumps")
     reached, n = settle(jump.where("at = 0").select("path", "at"), "reached"), 0
-    step = jump.select("path", "at", "to").join(_side(jump.select("path", F.col("at").alias("to"))), ["path", "to"], "left_semi")
+    step = jump.select("path", "at", "to").join(side(jump.select("path", F.col("at").alias("to"))), ["path", "to"], "left_semi")
     while (now := reached.count()) > n:
         n = now
-        more = reached.join(_side(step), ["path", "at"]).select("path", F.col("to").alias("at"))
+        more = reached.join(side(step), ["path", "at"]).select("path", F.col("to").alias("at"))
         reached = settle(reached.unionByName(more).distinct(), "reached")
         further = step.select("path", F.col("at").alias("to"), F.col("to").alias("further"))
-        step = settle(step.join(_side(further), ["path", "to"]).select("path", "at", F.col("further").alias("to")), "jumps")
-    entries = settle(jump.join(_side(reached), ["path", "at"], "left_semi").select("path", "block", F.col("tin").alias("entry")), "entries")
-    real = placed.join(_side(entries), ["path", "block"]).where("next IS NOT NULL AND tin <= entry AND entry < tout")
+        step = settle(step.join(side(further), ["path", "to"]).select("path", "at", F.col("further").alias("to")), "jumps")
+    entries = settle(jump.join(side(reached), ["path", "at"], "left_semi").select("path", "block", F.col("tin").alias("entry")), "entries")
+    real = placed.join(side(entries), ["path", "block"]).where("next IS NOT NULL AND tin <= entry AND entry < tout")
     records = real.select("path", "block", "at", "local", "complete", "type", "id", "refers", "digest", "bytes")
     whole = records.where("complete")
     if records.where("NOT complete").isEmpty():

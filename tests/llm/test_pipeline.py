@@ -48,3 +48,18 @@ def test_stages(spark, docs, tmp_path):
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.select("doc_id").distinct().count() <= 200 and out.count() > 0
+
+
+def test_rows_of_one_id_stay_unless_their_own_text_is_a_copy(spark, docs):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, other), (2, long + " end"), (2, "nothing like it at all here"), (-3, other), (7, "x"), (7, "x"), (8, None), (8, None), (None, long), (None, long)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = collections.Counter((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, df, SF).collect())
+    assert got == collections.Counter([(1, long), (2, "nothing like it at all here"), (-3, other), (7, "x"), (8, None), (None, long), (None, long)])
+
+
+def test_near_duplicates_take_text_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", long), ("a", long + " end"), ("c", "else " * 9), (None, long), ("d", None)]
+    got = {r.name: (r.component_id, r.kept) for r in brute.neardup.near_duplicates(spark.createDataFrame(rows, "name string, text string"), id_col="name").collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: (None, True), "d": ("d", True)}
