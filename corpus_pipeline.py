@@ -28,16 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (that of the least id) of each group linked at 80 % of five-word shingles.
 
-    Where an id is repeated, one of its rows stays.
+    Where ids are repeated, rows are told apart by id and text: of rows that share both one stays, of rows that share
+    the id alone those go whose own text is linked to that of a kept row.
     """
+    columns = docs.columns
     more = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not more.isEmpty():
-        columns = docs.columns
-        least = F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), F.coalesce("text", F.lit("")))).alias("row")
-        one = docs.join(more, "doc_id", "left_semi").groupBy("doc_id").agg(least).select(*[F.col("row").getField(c).alias(c) for c in columns])
-        docs = settle(docs.join(more, "doc_id", "left_anti").select(columns).unionByName(one), "single")
-    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if more.isEmpty():
+        gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(columns)
+    # in the order of the ids, then by text: both numbers as hexadecimal digits, the lowest first
+    digits = [F.lpad(F.hex(x.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") for x in (F.col("doc_id"), F.xxhash64("text"))]
+    least = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("_key", F.concat(*digits)).groupBy("_key").agg(least)
+    keyed = settle(keyed.select("_key", *[F.col("row").getField(c).alias(c) for c in columns]), "keyed")
+    gone = neardup.near_duplicates(keyed, id_col="_key").where("NOT kept").select("_key")
+    return keyed.join(gone, "_key", "left_anti").select(columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
