@@ -74,10 +74,15 @@ def begin(keep: str = "") -> None:
     for name in [k for k in KEPT if k != keep]:
         del KEPT[name]
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: nothing to trim
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the machine: workers live on from task to task, beside each other."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aligna.llm.common import begin, drop, heavy_rows, mix, numbered, raw, settle, word_hashes
+from aligna.llm.common import begin, drop, heavy_rows, mix, numbered, raw, settle, trim, word_hashes
 
 CHUNK, SWEEPS, BURN_IN = 12 << 20, 3, 1
 #: A word with more than 1 / (PARTS * buckets) of all tokens, or LEAST_SHARE, is split by context over several buckets.
@@ -110,8 +110,9 @@ def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, p: np.ndarray, theta:
     values, starts = np.unique(cc, return_index=True)
     ends = np.append(starts[1:], len(cc))
     for (value, ratio), a, b in zip(stirling_ratios(values.tolist(), d), starts.tolist(), ends.tolist(), strict=True):
-        for i in range(a, b, 20_000):
-            part = slice(i, min(b, i + 20_000))
+        rows = max(1, 400_000 // min(value, 512))
+        for i in range(a, b, rows):
+            part = slice(i, min(b, i + rows))
             out[many[part]] = draw(value, ratio, p[part], strength[part], d, u[part])
     return out
 
@@ -122,17 +123,15 @@ def predicted(c, t, tables, customers, parent, theta: float, d: float):
 
 
 def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool], share: float) -> dict:
-    """A chunk as kept: sizes of its texts, word numbers, the words' hashes and their ranks by hash, the end's number,
+    """A chunk as kept: sizes of its texts, word numbers, the words' hashes, the end's number,
     and the words that have half of that share of its tokens, with their numbers."""
     flat, bounds, words = numbered(texts, lower=True)
     flat, bounds, words = np.insert(flat, bounds[1:], len(words)), bounds + np.arange(len(bounds)), [*words, END]
     hashes = word_hashes(words)
-    rank = np.empty(len(words), np.uint32)
-    rank[np.argsort(hashes, kind="stable")] = np.arange(len(words), dtype=np.uint32)
     times = np.bincount(flat, minlength=len(words))
     often = times > max(1, LEAST_SHARE / 2 * len(flat), share / 2 * len(flat))
     return {
-        "chunk": chunk, "ids": ids, "held": held, "sizes": np.diff(bounds).astype(np.uint32).tobytes(), "flat": flat.astype(np.uint32).tobytes(), "rank": rank.tobytes(), "hashes": hashes.tobytes(), "end": len(words) - 1,
+        "chunk": chunk, "ids": ids, "held": held, "sizes": np.diff(bounds).astype(np.uint32).tobytes(), "flat": flat.astype(np.uint32).tobytes(), "hashes": hashes.tobytes(), "end": len(words) - 1,
         "often": [{"h": h, "n": x} for h, x in zip(hashes[often].view(np.int64).tolist(), times[often].tolist(), strict=True)], "n": len(flat),
     }
 
@@ -140,7 +139,9 @@ def chunk_row(chunk: int, ids, texts: list[bytes], held: list[bool], share: floa
 def pairs_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: the ranks of word and context of each distinct pair, by word and context, each token's pair, sizes."""
     sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-    rank = np.frombuffer(row["rank"], np.uint32).astype(np.int64)
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    rank = np.empty(len(hashes), np.int64)
+    rank[np.argsort(hashes, kind="stable")] = np.arange(len(hashes))
     tokens = rank[np.frombuffer(row["flat"], np.uint32)]
     before = np.empty(len(tokens), np.int64)
     before[1:] = tokens[:-1]
@@ -213,6 +214,7 @@ def merge_with(often: np.ndarray):
 
 def merge(pdf: pd.DataFrame, often: np.ndarray) -> pd.DataFrame:
     """One row for a bucket: its words' pairs with summed counts, its contexts, and where each chunk's pairs are."""
+    trim()
     pdf = pdf.sort_values("chunk")
     hashes = [np.frombuffer(x, np.uint64) for x in pdf["a"]]
     sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["b"]]
@@ -321,6 +323,7 @@ def totals(messages: DataFrame, n_shards: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=["shard", "bucket", "want", "keys", "x"])
 
     def add(pdf):
+        trim()
         keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         places = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
@@ -390,6 +393,7 @@ def sweep_with(setting: dict, k: int, state: dict):
     """A function that seats a core row anew in sweep k, given the shards' answers."""
 
     def sweep(one: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        trim()
         row = one.iloc[0].to_dict()
         tables = _answer(back, 1)[0]
         if k:
@@ -422,6 +426,7 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
     def send(frames):
         for pdf in frames:
             for _, row in pdf.iterrows():
+                trim()
                 yield pd.DataFrame(sent(row, n_buckets, splits))
 
     pairs = kept.drop("ids", "often").mapInPandas(send, "chunk long, bucket long, a binary, b binary, c binary, d binary")
@@ -479,6 +484,7 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
 
     def answer(one, back):
         """For each chunk: its pairs' customers and tables, and its words' customers and probabilities in the root."""
+        trim()
         row = one.iloc[0].to_dict()
         b = Bucket(row, setting)
         many, seated, parents = b.c > 1, [], []
@@ -528,7 +534,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         first = TaskContext.get().partitionId() << 24
         ids, texts, held, size, n = [], [], [], 0, 0
         for batch in batches:
-            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in ("sizes", "flat", "rank", "hashes")], ("end", pa.int64()), ("often", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), ("n", pa.int64())])
+            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in ("sizes", "flat", "hashes")], ("end", pa.int64()), ("often", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), ("n", pa.int64())])
             for i, t, h in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t)
@@ -540,7 +546,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         if texts:
             yield pa.RecordBatch.from_pylist([chunk_row(first + n, ids, texts, held, 1 / (PARTS * n_buckets))], schema=schema)
 
-    kept = settle(docs.mapInArrow(chunks, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, flat binary, rank binary, hashes binary, end long, often array<struct<h:long,n:long>>, n long"), "chunks")
+    kept = settle(docs.mapInArrow(chunks, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, flat binary, hashes binary, end long, often array<struct<h:long,n:long>>, n long"), "chunks")
     splits = splits_of(kept, n_buckets)
     with heavy_rows(docs.sparkSession):
         back, n, v, setting = fitted(kept, n_buckets, splits, theta)
@@ -548,6 +554,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     used = SWEEPS - BURN_IN
 
     def scored(chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        trim()
         row, asked = chunk.iloc[0], back["x"].notna()
         tables = _answer(back[asked].rename(columns={"bucket": "shard"}), 1 + used)
         back = back[~asked].sort_values("bucket")
@@ -578,5 +585,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         ids = list(row["ids"])
         return pd.DataFrame({"id": pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else "object"), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": per_doc((of_pair > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), int(n)), "base_score": per_doc(base), "score": per_doc(log)})
 
-    out = kept.drop("often", "n").repartition(n_buckets, "chunk").groupBy("chunk").cogroup(back.repartition(n_buckets, "chunk").groupBy("chunk")).applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with heavy_rows(docs.sparkSession):
+        pairs = kept.drop("often", "n").repartition(n_buckets, "chunk").groupBy("chunk").cogroup(back.repartition(n_buckets, "chunk").groupBy("chunk"))
+        out = settle(pairs.applyInPandas(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    drop(kept)
+    drop(back)
     return out.withColumnRenamed("id", id_col)
