@@ -79,6 +79,7 @@ def begin(keep: str = "") -> None:
 
 def trim() -> None:
     """Give freed memory back to the machine: workers live on from task to task, beside each other."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to trim

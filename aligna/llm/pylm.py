@@ -34,6 +34,8 @@ END = b" "
 
 #: Customers up to which Stirling numbers come from their recurrence; beyond, from an integral.
 RECURRENCE = 1024
+#: Pairs that a chunk scores at once.
+RUN = 1 << 17
 
 
 def ratios(c: int, t: np.ndarray, d: float) -> np.ndarray:
@@ -146,8 +148,10 @@ def pairs_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty(len(tokens), np.int64)
     before[1:] = tokens[:-1]
     before[np.cumsum(sizes) - sizes] = rank[row["end"]]
-    pairs, inverse = np.unique(tokens * len(rank) + before, return_inverse=True)
-    return pairs // len(rank), pairs % len(rank), inverse, sizes
+    before += tokens * len(rank)
+    del tokens
+    pairs, inverse = np.unique(before, return_inverse=True)
+    return pairs // len(rank), pairs % len(rank), inverse.astype(np.int32), sizes
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -241,7 +245,6 @@ def merge(pdf: pd.DataFrame, often: np.ndarray) -> pd.DataFrame:
 
 MERGED = "bucket long, chunks array<long>, maps array<binary>, sizes array<binary>, word binary, cls binary, c binary, keys binary, sums array<long>, shared binary, place binary, many binary"
 CORE = "bucket long, word binary, cls binary, c binary, keys binary, static binary, t binary, root binary, t0 binary, customers long, root_tables long, shared binary, place binary, many binary"
-MESSAGE = "bucket long, want boolean, keys binary, x binary"
 
 
 def _columns(row) -> tuple[np.ndarray, ...]:
@@ -288,6 +291,11 @@ def opening(row) -> list[dict]:
     return [{"bucket": row["bucket"], "want": want, "keys": keys[at].tobytes(), "x": seen[at].tobytes()} for want, at in ((True, moves), (False, ~moves & (seen > 0)))]
 
 
+def moved(row) -> list[dict]:
+    """A core row's tables by context beyond one for each pair; it asks for their totals."""
+    return [{"bucket": row["bucket"], "want": True, "keys": row["keys"], "x": added(row).tobytes()}]
+
+
 def added(row) -> np.ndarray:
     """Tables of a core row's contexts beyond one for each pair."""
     cls, t = np.frombuffer(row["cls"], np.uint32), np.frombuffer(row["t"], np.uint32).astype(np.int64)
@@ -303,24 +311,33 @@ def _each(make):
     return run
 
 
-def totals(messages: DataFrame, n_shards: int) -> DataFrame:
+def totals(sources: list, n_shards: int) -> DataFrame:
     """Sums by key over all messages, sent back in order to the buckets that want them: bucket, shard, keys, x.
 
+    sources: tables, each with a function from a row to its messages (bucket, want, keys, x), which is called where
+    messages are split by shard, so that a task has one Python worker and messages cross to Python once.
     x: numbers of four bytes, one row after another, each as long as keys. Keys are sorted, so shards are in order too.
     Each shard also keeps its sums: a row with its keys for bucket -1; the keys of answers are left out.
     """
 
-    def split(frames):
-        for pdf in frames:
-            for _, row in pdf.iterrows():
-                keys, out = np.frombuffer(row["keys"], np.uint64), []
-                if len(keys):
-                    x, shard = np.frombuffer(row["x"], np.uint32).reshape(-1, len(keys)), shard_of(keys, n_shards)
-                    starts = np.searchsorted(shard, np.arange(n_shards + 1))
-                    for s in np.unique(shard).tolist():
-                        at = slice(starts[s], starts[s + 1])
-                        out.append((s, row["bucket"], row["want"], keys[at].tobytes(), x[:, at].tobytes()))
-                yield pd.DataFrame(out, columns=["shard", "bucket", "want", "keys", "x"])
+    def pieces(message: dict) -> pd.DataFrame:
+        keys, out = np.frombuffer(message["keys"], np.uint64), []
+        if len(keys):
+            x, shard = np.frombuffer(message["x"], np.uint32).reshape(-1, len(keys)), shard_of(keys, n_shards)
+            starts = np.searchsorted(shard, np.arange(n_shards + 1))
+            for s in np.unique(shard).tolist():
+                at = slice(starts[s], starts[s + 1])
+                out.append((s, message["bucket"], message["want"], keys[at].tobytes(), x[:, at].tobytes()))
+        return pd.DataFrame(out, columns=["shard", "bucket", "want", "keys", "x"])
+
+    def split(make):
+        def run(frames):
+            for pdf in frames:
+                for _, row in pdf.iterrows():
+                    yield from map(pieces, make(row))
+            trim()
+
+        return run
 
     def add(pdf):
         trim()
@@ -333,7 +350,10 @@ def totals(messages: DataFrame, n_shards: int) -> DataFrame:
         back = [(-1, found.tobytes(), sums.tobytes())] + [(b, b"", sums[:, p].tobytes()) for b, want, p in zip(pdf["bucket"], pdf["want"], places, strict=True) if want]
         return pd.DataFrame(back, columns=["bucket", "keys", "x"]).assign(shard=int(pdf["shard"].iloc[0]))
 
-    rows = messages.mapInPandas(split, "shard long, bucket long, want boolean, keys binary, x binary")
+    rows = None
+    for table, make in sources:
+        found = table.mapInPandas(split(make), "shard long, bucket long, want boolean, keys binary, x binary")
+        rows = found if rows is None else rows.unionByName(found)
     return rows.repartition(n_shards, "shard").groupBy("shard").applyInPandas(add, "bucket long, shard long, keys binary, x binary")
 
 
@@ -438,7 +458,7 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
     setting = {"v": v, "d1": d, "d2": d, "theta1": theta[0], "theta2": theta[1]}
     lean = merged.select("bucket", "word", "cls", "c", "keys", "shared", "place")
     core = settle(lean.mapInPandas(_each(core_row), CORE), "core")
-    start = settle(totals(lean.mapInPandas(_each(opening), MESSAGE), n_buckets), "totals")
+    start = settle(totals([(lean, opening)], n_buckets), "totals")
     ask, cores, states = start.where("bucket >= 0"), [], []
     for k in range(SWEEPS + 1):
         found = core.agg(F.sum("customers"), F.sum("root_tables")).first()
@@ -457,8 +477,7 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
         core = settle(core.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(ask.repartition(n_buckets, "bucket").groupBy("bucket")).applyInPandas(sweep_with(setting, k, states[k]), CORE), "core")
         if k <= BURN_IN:
             drop(cores[k])
-        moved = core.select("bucket", "cls", "keys", "t").mapInPandas(_each(lambda r: [{"bucket": r["bucket"], "want": True, "keys": r["keys"], "x": added(r).tobytes()}]), MESSAGE)
-        ask = totals(moved, n_buckets).where("bucket >= 0")
+        ask = totals([(core.select("bucket", "cls", "keys", "t"), moved)], n_buckets).where("bucket >= 0")
 
     # every chunk learns of its words, as contexts, the tables at the start and what each used sweep has added
     used = range(BURN_IN + 1, SWEEPS + 1)
@@ -474,11 +493,12 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
 
         return make
 
-    ask = start.where("bucket = -1").mapInPandas(_each(message(0, False)), MESSAGE)
-    ask = ask.unionByName(kept.select(F.col("chunk").alias("bucket"), F.col("hashes").alias("keys")).mapInPandas(_each(lambda r: message(None, True)({"bucket": r["bucket"], "keys": np.sort(np.frombuffer(r["keys"], np.uint64)).tobytes()})), MESSAGE))
-    given = None
+    def wanted(row):
+        return message(None, True)({"bucket": row["chunk"], "keys": np.sort(np.frombuffer(row["hashes"], np.uint64)).tobytes()})
+
+    asked, given = [(start.where("bucket = -1"), message(0, False)), (kept.select("chunk", "hashes"), wanted)], None
     for j, k in enumerate(used):
-        ask = ask.unionByName(cores[k].select("bucket", "cls", "keys", "t").mapInPandas(_each(message(j + 1, False)), MESSAGE))
+        asked.append((cores[k].select("bucket", "cls", "keys", "t"), message(j + 1, False)))
         seats = cores[k].select("bucket", F.lit(k).alias("k"), "t", "root")
         given = seats if given is None else given.unionByName(seats)
 
@@ -509,7 +529,7 @@ def fitted(kept: DataFrame, n_buckets: int, splits, theta: tuple[float, float])
 
     pieces = merged.select("bucket", "chunks", "maps", "sizes", "word", "cls", "c", "shared", "place").repartition(n_buckets, "bucket").groupBy("bucket").cogroup(given.repartition(n_buckets, "bucket").groupBy("bucket"))
     back = settle(pieces.applyInPandas(answer, "chunk long, bucket long, low binary, high binary, tables binary, counts binary, parents binary, sizes binary"), "back")
-    contexts = settle(totals(ask, n_buckets).where("bucket >= 0").select(F.col("bucket").alias("chunk"), "shard", "x"), "contexts")
+    contexts = settle(totals(asked, n_buckets).where("bucket >= 0").select(F.col("bucket").alias("chunk"), "shard", "x"), "contexts")
     for table in (merged, start, *cores[BURN_IN + 1 :]):
         drop(table)
     empty = [F.lit(None).cast("binary").alias(x) for x in ("low", "high", "tables", "counts", "parents", "sizes")]
@@ -569,21 +589,24 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         seated = np.concatenate([np.frombuffer(x, np.uint32).reshape(used, -1) for x in back["tables"]], 1)
         parents = np.zeros((used, len(hashes)))
         parents[:, at] = np.concatenate([np.frombuffer(x, np.float64).reshape(used, -1) for x in back["parents"]], 1)
-        p = 0.0
-        for k in range(used):
-            t = (c > 0).astype(np.int64)
-            t[c > 1] = seated[k]
-            p = p + predicted(c, t, (tables[0] + tables[1 + k])[before[order]], count[before[order]], parents[k][word[order]], setting["theta2"], setting["d2"]) / used
-        log, of_pair = np.empty(len(word)), count[word]
-        log[order] = np.log10(p)
-        starts = np.cumsum(sizes) - sizes
-        base = np.log10((of_pair + 0.5) / (n + 0.5 * (v + 1)))
+        log, ends = np.empty(len(word)), np.append(0, np.cumsum(c > 1))
+        for i in range(0, len(word), RUN):  # pairs in runs, so that what is worked out beside them stays small
+            part = slice(i, i + RUN)
+            some, of_word, of_context, p = c[part], word[order[part]], before[order[part]], 0.0
+            many = slice(ends[i], ends[min(i + RUN, len(word))])
+            for k in range(used):
+                t = (some > 0).astype(np.int64)
+                t[some > 1] = seated[k, many]
+                p = p + predicted(some, t, tables[0][of_context] + tables[1 + k][of_context], count[of_context], parents[k][of_word], setting["theta2"], setting["d2"]) / used
+            log[order[part]] = np.log10(p)
+        del low, c, seated, parents, tables, before, order, ends
+        base, starts = np.log10((count + 0.5) / (n + 0.5 * (v + 1))), np.cumsum(sizes) - sizes
 
         def per_doc(x):
             return np.add.reduceat(x[tokens], starts)
 
         ids = list(row["ids"])
-        return pd.DataFrame({"id": pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else "object"), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": per_doc((of_pair > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), int(n)), "base_score": per_doc(base), "score": per_doc(log)})
+        return pd.DataFrame({"id": pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else "object"), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": per_doc((count > 0)[word].astype(np.int64)), "train_tokens": np.full(len(sizes), int(n)), "base_score": per_doc(base[word]), "score": per_doc(log)})
 
     with heavy_rows(docs.sparkSession):
         pairs = kept.drop("often", "n").repartition(n_buckets, "chunk").groupBy("chunk").cogroup(back.repartition(n_buckets, "chunk").groupBy("chunk"))
