@@ -41,7 +41,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["ord"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    counts = [F.size(F.filter("base", lambda x: x["ord"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
