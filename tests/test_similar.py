@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from aligna import queries
+from aligna.functions import similar
 from aligna.operators import memory
 
 
@@ -56,6 +57,46 @@ def test_many_candidates_at_once():
     assert memory.best(asked, texts, ords, 0.85) == [brute(q, texts, ords, False) for q in asked]
 
 
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for c in a:
+        last = 0
+        for j, d in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_only_pairs_with_enough_in_common_in_order_are_let_through():
+    """Of texts with nearly the same characters in other orders, those are let through that have a common subsequence as long as must be matched."""
+    rng = random.Random(11)
+    words = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or"]
+    texts = ["".join(rng.choice(words) + rng.choice(["", "", " "]) for _ in range(200))[: rng.randint(40, 330)].strip() for _ in range(150)]
+    texts = sorted({changed(rng, a, p) for a in texts for p in (0, 0.12)})
+    asked = [changed(rng, a, 0.08) for a in texts[::12]]
+    y = similar.Texts(texts)
+    i, k = similar.candidates(similar.Texts(asked, y.letters), y, 0.85)[:2]
+    got = set(zip(i.tolist(), k.tolist(), strict=True))
+    sure = {(a, b) for a, s in enumerate(asked) for b, t in enumerate(texts) if memory.ratio(s, t) >= 0.85}
+    assert len(sure) > 20 and sure <= got and all(2 * longest(asked[a], texts[b]) >= 0.85 * (len(asked[a]) + len(texts[b])) for a, b in got)
+
+
+def test_common_subsequences_within_the_band():
+    """Of texts of any length, in one word or several, the longest is found wherever it is long enough."""
+    rng = random.Random(13)
+    for size in (5, 60, 150, 190, 230, 420):
+        base = made(rng, "abcdefg", size)
+        texts, asked = ([changed(rng, base, p) for p in (0.02, 0.1, 0.15, 0.2, 0.25, 0.3) for _ in range(4)] for _ in range(2))
+        y = similar.Texts(texts)
+        x = similar.Texts(asked, y.letters)
+        i, k = (a.ravel() for a in np.indices((len(asked), len(texts))))
+        fit = similar.matched(x.n[i], y.n[k], 0.85) <= np.minimum(x.n[i], y.n[k])
+        i, k = i[fit], k[fit]
+        live, most = similar.within(x, i, y.rows(np.arange(len(texts))), k, y.n[k], 0.85)
+        real = np.array([longest(asked[a], texts[b]) for a, b in zip(i, k, strict=True)])
+        enough = real >= similar.matched(x.n[i], y.n[k], 0.85)
+        assert live.tolist() == np.flatnonzero(enough).tolist() and most.tolist() == real[enough].tolist()
+
+
 def test_any_dealing_gives_the_same(spark):
     rng = random.Random(5)
     texts = sorted({changed(rng, made(random.Random(i % 9), "abcdefgh", 15 * (i % 9 + 1)), 0.05) for i in range(120)})
